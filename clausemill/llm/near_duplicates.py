@@ -12,7 +12,10 @@ Every set indexes all of its segments (and the neighbourhoods of a few positions
 in its own band and probes the band below.  Which segments a set picks is decided
 by cost: document counts of frequent tokens, gathered over all documents, make
 segments of nothing but frequent tokens expensive, and these are left out as long
-as the others reach H + 1.  What meets is verified exactly on the whole texts.
+as the others reach H + 1; segments of many tokens come before those of one.  With
+picks worth H + c a similar pair meets c times at least, and a small histogram of
+each set's tokens bounds the differing tokens from below; both thin the candidates.
+What is left is verified exactly on the whole texts.
 
 Signatures travel packed, five bytes each, one row per document and bucket, so the
 shuffle is smaller than the text.  Runs of one signature longer than ``RUN`` leave
@@ -34,9 +37,11 @@ from clausemill.session import cut
 
 U64 = np.uint64
 #: Tokens in at least this share of documents count as frequent; so there are at most (mean set size / share) of them.
-FREQUENT_SHARE = 1 / 500
-FREQUENT_LEAST = 24
+FREQUENT_SHARE = 1 / 2000
+FREQUENT_LEAST = 6
 FREQUENT_MOST = 200_000
+#: Picks beyond H, so many times a pair must meet (at most 3, two bits).
+SPARE = 3
 #: Positions whose one-deletion neighbourhoods are indexed.
 NEIGHBOURHOODS = 6
 #: Signatures a bucket is sized for, and the longest run paired inside a bucket.
@@ -45,6 +50,8 @@ RUN = 256
 #: Bits of the candidate filter at least and at most (2 MB and 64 MB as broadcast).
 FILTER_BITS = (1 << 24, 1 << 29)
 _HASH_BITS = U64(38)
+#: Cells of the token histogram that travels with the signatures, four bits each.
+CELLS = 128
 
 
 def differing(size: np.ndarray, other: np.ndarray, t: float) -> np.ndarray:
@@ -87,12 +94,12 @@ def frequent_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
     documents = texts.count()
     counted = texts.mapInArrow(lambda it: _frequent_counts(it, size, FREQUENT_SHARE), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     least = max(FREQUENT_LEAST, documents * FREQUENT_SHARE)
-    rows = counted.filter((F.col("n") >= least) | (F.col("token") == 0)).orderBy(F.desc(F.col("token") == 0), F.desc("n"), "token").limit(FREQUENT_MOST).collect()
-    total = next((r.n for r in rows if r.token == 0), 0)
-    kept = sorted((r.token, r.n) for r in rows if r.token)
-    tokens = np.array([x for x, _ in kept], np.int64).view(U64)
+    rows = counted.filter((F.col("n") >= least) | (F.col("token") == 0)).orderBy(F.desc(F.col("token") == 0), F.desc("n"), "token").limit(FREQUENT_MOST).toArrow()
+    tokens, counts = rows.column("token").to_numpy().view(U64), rows.column("n").to_numpy()
+    total = int(counts[tokens == 0].sum())
     order = np.argsort(tokens)
-    return tokens[order], np.array([n for _, n in kept], np.int64)[order], total, documents
+    order = order[tokens[order] != 0]
+    return tokens[order], counts[order], total, documents
 
 
 class _Signer:
@@ -127,32 +134,24 @@ class _Signer:
         salt = (band[slot_doc].astype(U64) << U64(32)) + slot_segment.astype(U64) + U64(1)
         salt = K.mix(salt * U64(0x9E3779B97F4A7C15))
         other = np.minimum(sizes, 2 ** (band + 1) - 1)
-        need = differing(sizes, other, self.t) + 1
+        most = differing(sizes, other, self.t)
         value = np.ones(len(slots), np.int64)
-        picked = price_of == 0
-        reached = np.bincount(slot_doc[picked], minlength=len(docs))
-        short = np.zeros(len(docs), bool)
+        # Cheap segments first, those of many tokens before others; expensive ones only up to H + 1.
+        order = np.argsort((slot_doc << 40) | (np.minimum(price_of, 1 << 31) << 8) | (255 - np.minimum(members, 255)), kind="stable")
         bounds = np.searchsorted(slot_doc, np.arange(len(docs) + 1))
-        for i in np.flatnonzero(reached < need):
-            # First the neighbourhoods of cheap segments, then expensive ones from the cheapest on.
-            lo, hi = bounds[i], bounds[i + 1]
-            have, near = int(reached[i]), [s for s in range(lo, hi) if slot_segment[s] < NEIGHBOURHOODS and members[s] > 1]
-            for s in near:
-                if have >= need[i]:
-                    break
-                if picked[s]:
-                    value[s], have = 2, have + 1
-            rest = lo + np.flatnonzero(~picked[lo:hi])
-            for s in rest[np.argsort(price_of[rest], kind="stable")]:
-                if have >= need[i]:
-                    break
-                picked[s], have = True, have + 1
-            for s in near:
-                if have >= need[i]:
-                    break
-                if picked[s] and value[s] == 1:
+        rank = np.empty(len(slots), np.int64)
+        rank[order] = np.arange(len(slots)) - bounds[slot_doc[order]]
+        cheap = np.bincount(slot_doc[price_of == 0], minlength=len(docs))
+        spare = np.clip(cheap - most, 1, SPARE)
+        picked = rank < (most + spare)[slot_doc]
+        short = np.zeros(len(docs), bool)
+        for i in np.flatnonzero(np.diff(bounds) < most + 1):
+            # Too few segments: the neighbourhoods of some count twice.
+            have = int(bounds[i + 1] - bounds[i])
+            for s in range(bounds[i], bounds[i + 1]):
+                if have <= most[i] and slot_segment[s] < NEIGHBOURHOODS and members[s] > 1:
                     value[s], have = 2, have + 1
-            short[i] = have < need[i]
+            short[i] = have <= most[i]
         exact = K.mix(sums + salt)
         near = (slot_segment[slot] < NEIGHBOURHOODS) & (members[slot] > 1) & (np.ones(len(slot), bool) if own else value[slot] == 2)
         cut_sig = K.mix(sums[slot[near]] - mixed[near] + salt[slot[near]])
@@ -160,7 +159,7 @@ class _Signer:
         doc = docs[np.concatenate((slot_doc[emit], slot_doc[slot[near]]))]
         sig = np.concatenate((exact[emit], cut_sig))
         flag = np.concatenate((picked[emit], value[slot[near]] == 2))
-        return doc, sig, flag, docs[short]
+        return doc, sig, flag, docs[short], spare
 
     def sign(self, tokens: np.ndarray, offsets: np.ndarray):
         sizes = np.diff(offsets)
@@ -171,15 +170,38 @@ class _Signer:
         docs = np.flatnonzero(sizes > 0)
         band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
         out = []
-        doc, sig, flag, short = self._one_band(tokens, cost, offsets, docs, band[docs], True)
+        doc, sig, flag, short, spare = self._one_band(tokens, cost, offsets, docs, band[docs], True)
+        least = np.ones(len(sizes), np.int64)
+        least[docs] = spare
         out.append((doc, sig, np.ones(len(doc), bool), flag))
         # A smaller partner may lie one band below (t of 0.5 or more).
         low = docs[(band[docs] > 0) & (np.ceil(sizes[docs] * self.t - 1e-9) < 2 ** band[docs])]
         if len(low):
-            doc, sig, flag, more = self._one_band(tokens, cost, offsets, low, band[low] - 1, False)
+            doc, sig, flag, more, spare = self._one_band(tokens, cost, offsets, low, band[low] - 1, False)
+            least[low] = np.minimum(least[low], spare)
             out.append((doc, sig, np.zeros(len(doc), bool), flag))
             short = np.union1d(short, more)
-        return *(np.concatenate(x) for x in zip(*out, strict=True)), short
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), short, least
+
+
+def _histograms(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Tokens by hash cell and text, at most 15, two cells a byte."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * CELLS + ((tokens * U64(0xC2B2AE3D27D4EB4F)) >> U64(57)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=n * CELLS), 15).astype(np.uint8).reshape(n, CELLS)
+    return counts[:, 0::2] | (counts[:, 1::2] << 4)
+
+
+def _near_enough(histograms: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """False where the histograms alone show more differing tokens than similar sets may have."""
+    out = np.ones(len(a), bool)
+    for start in range(0, len(a), 65536):
+        i, j = a[start : start + 65536], b[start : start + 65536]
+        x, y = histograms[i], histograms[j]
+        low = np.abs((x & 15).astype(np.int8) - (y & 15).astype(np.int8)).sum(axis=1, dtype=np.int64)
+        high = np.abs((x >> 4).astype(np.int8) - (y >> 4).astype(np.int8)).sum(axis=1, dtype=np.int64)
+        out[start : start + 65536] = low + high <= differing(sizes[i], sizes[j], t)
+    return out
 
 
 def _packed(signatures: np.ndarray, own: np.ndarray, picked: np.ndarray) -> np.ndarray:
@@ -206,7 +228,8 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: in
         nodes = nodes[fresh]
         for row, tokens, offsets in K.shingle_sets(batch.column(1), size):
             sizes = np.diff(offsets)
-            doc, sig, own, picked, short = signer.sign(tokens, offsets)
+            doc, sig, own, picked, short, least = signer.sign(tokens, offsets)
+            fact = (sizes << 2) | least
             bucket = ((sig & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket * len(sizes) + doc, kind="stable")
             key = (bucket * len(sizes) + doc)[order]
@@ -215,19 +238,21 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: in
             ends = np.append(begins[1:], len(key)).astype(np.int64) if len(key) else begins
             blobs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((np.append(begins, ends[-1:] if len(ends) else 0) * 5).astype(np.int32)), pa.py_buffer(data)])
             row_doc = key[begins] % len(sizes) if len(key) else begins
+            cells = pa.array([x.tobytes() for x in _histograms(tokens, offsets)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((key[begins] // len(sizes), np.full(len(short), -1))).astype(np.int32)),
                     pa.array(np.concatenate((nodes[row + row_doc], nodes[row + short])).astype(np.int64)),
-                    pa.array(np.concatenate((sizes[row_doc], sizes[short])).astype(np.int32)),
+                    pa.array(np.concatenate((fact[row_doc], fact[short])).astype(np.int32)),
                     pa.concat_arrays([blobs, pa.array([b""] * len(short), pa.binary())]),
+                    cells.take(pa.array(np.concatenate((row_doc, short)).astype(np.int64))),
                 ],
-                names=["bucket", "node", "size", "sigs"],
+                names=["bucket", "node", "size", "sigs", "cells"],
             )
 
 
-def _pairs_of(signature: np.ndarray, member: np.ndarray, size: np.ndarray, own: np.ndarray, picked: np.ndarray, t: float) -> np.ndarray:
-    """Pairs (as members' numbers) within runs of one signature; arrays are sorted by signature."""
+def _pairs_of(signature: np.ndarray, member: np.ndarray, size: np.ndarray, own: np.ndarray, picked: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as members' numbers) and how often they meet within runs of one signature; arrays are sorted by signature."""
     found = []
     step = 1
     while step < len(signature):
@@ -241,11 +266,12 @@ def _pairs_of(signature: np.ndarray, member: np.ndarray, size: np.ndarray, own:
         i, j = member[i[good]], member[j[good]]
         found.append((np.minimum(i, j).astype(np.int64) << 32) | np.maximum(i, j))
         step += 1
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _bucket_pairs(table: pa.Table, t: float) -> pa.Table:
-    """kind 0: candidate nodes a, b. kind 1: member of a long run: signature a, node b, its size and bits."""
+    """kind 0: candidate nodes a, b, size: times they meet << 2 | times they must.
+    kind 1 to 4: member of a long run: signature a, node b, size: its size << 2 | times it must meet."""
     table = table.combine_chunks()
     none = {"kind": [], "a": [], "b": [], "size": []}
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32())])
@@ -281,16 +307,24 @@ def _bucket_pairs(table: pa.Table, t: float) -> pa.Table:
         return pa.Table.from_pydict(none, schema=schema)
     starts = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
     lengths = np.diff(np.append(starts, len(signature)))
-    long = np.repeat(lengths > RUN, lengths)
-    node_size = sizes[first]
+    useful = np.repeat(np.maximum.reduceat(packed & U64(1), starts) > 0, lengths)
+    long = np.repeat(lengths > RUN, lengths) & useful
+    node_fact = sizes[first].astype(np.int64)
+    node_size = node_fact >> 2
     picked, own = (packed & U64(1)).astype(bool), (packed & U64(2)).astype(bool)
-    short = ~long
-    pairs = _pairs_of(signature[short], member[short], node_size[member[short]], own[short], picked[short], t)
-    parts = [pa.Table.from_pydict({"kind": np.zeros(len(pairs), np.int32), "a": unique[pairs >> 32], "b": unique[pairs & 0xFFFFFFFF], "size": np.zeros(len(pairs), np.int32)}, schema=schema)]
+    short = ~long & useful
+    pairs, times = _pairs_of(signature[short], member[short], node_size[member[short]], own[short], picked[short], t)
+    if len(pairs):
+        cells = np.frombuffer(b"".join(table.column("cells").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), CELLS // 2)
+        good = _near_enough(cells, node_size, pairs >> 32, pairs & 0xFFFFFFFF, t)
+        pairs, times = pairs[good], times[good]
+    x, y = pairs >> 32, pairs & 0xFFFFFFFF
+    need = np.minimum(node_fact[x] & 3, node_fact[y] & 3)
+    parts = [pa.Table.from_pydict({"kind": np.zeros(len(pairs), np.int32), "a": unique[pairs >> 32], "b": unique[pairs & 0xFFFFFFFF], "size": ((times << 2) | need).astype(np.int32)}, schema=schema)]
     if long.any():
         bits = (packed[long] & U64(3)).astype(np.int32)
         name = K.mix(signature[long] * U64(2654435761) + U64(bucket)).view(np.int64)
-        parts.append(pa.Table.from_pydict({"kind": 1 + bits, "a": name, "b": unique[member[long]], "size": node_size[member[long]].astype(np.int32)}, schema=schema))
+        parts.append(pa.Table.from_pydict({"kind": 1 + bits, "a": name, "b": unique[member[long]], "size": node_fact[member[long]].astype(np.int32)}, schema=schema))
     return pa.concat_tables(parts)
 
 
@@ -364,20 +398,22 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
     hot, counts, total, documents = frequent_tokens(nodes.select("text"), size)
     signer = _Signer(threshold, hot, counts)
     buckets = min(1 << 24, max(8, math.ceil(total * 0.75 / BUCKET_SIGNATURES)))
-    rows = nodes.select("node", "text").mapInArrow(lambda it: _signature_rows(it, signer, size, buckets), "bucket int, node long, size int, sigs binary")
+    rows = nodes.select("node", "text").mapInArrow(lambda it: _signature_rows(it, signer, size, buckets), "bucket int, node long, size int, sigs binary, cells binary")
     met = cut(
         rows.groupBy("bucket").applyInArrow(lambda table: _bucket_pairs(table, threshold) if table.column("bucket")[0].as_py() >= 0 else _short_rows(table), "kind int, a long, b long, size int")
     )
-    runs = met.filter("kind between 1 and 4").select("a", "b", "size", ((F.col("kind") - 1).bitwiseAND(1) > 0).alias("picked"), ((F.col("kind") - 1).bitwiseAND(2) > 0).alias("own")).distinct()
+    runs = met.filter("kind between 1 and 4").select("a", "b", F.shiftright("size", 2).alias("size"), F.col("size").bitwiseAND(3).alias("need"), ((F.col("kind") - 1).bitwiseAND(1) > 0).alias("picked"), ((F.col("kind") - 1).bitwiseAND(2) > 0).alias("own")).distinct()
     x, y = runs.alias("x"), runs.alias("y")
     large = F.greatest("x.size", "y.size")
     long_pairs = (
         x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
         .filter((F.col("x.own") | F.col("y.own")) & (F.least("x.size", "y.size") >= threshold * large - 1e-9))
         .filter((F.col("x.picked") & (F.col("x.size") == large)) | (F.col("y.picked") & (F.col("y.size") == large)))
-        .select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+        .select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(1).alias("times"), F.least("x.need", "y.need").alias("need"))
     )
-    pairs = cut(met.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(long_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    meetings = met.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftright("size", 2).alias("times"), F.col("size").bitwiseAND(3).alias("need")).unionByName(long_pairs)
+    # Of H + c picks at most H can miss, so a pair meets c times at least.
+    pairs = cut(meetings.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("a", "b"))
     members = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     texts = within(nodes.select("node", "text"), "node", members, 2 * pairs.count()).groupBy("node").agg(F.first("text").alias("text"))
     joined = (

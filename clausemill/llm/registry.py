@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.llm import near_duplicates
+from clausemill.llm import cross_split, leaks, near_duplicates, splits, splitting
 from clausemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,52 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_pairs(p1_groups(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = leaks.blocked_items(table(spark, sf_dir, "eval_item"), table(spark, sf_dir, "dataset_config"))
+    return leaks.leaks(table(spark, sf_dir, "processed_document"), items)
+
+
+def p2_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each leaked item."""
+    return p2_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.ordered_pairs(cross_split.cross_split_pairs(table(spark, sf_dir, "dataset_record"), threshold=0.70))
+
+
+def p4_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "dataset_record")
+    return cross_split.overlap_report(records, cross_split.cross_split_pairs(records, threshold=0.70))
+
+
+def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_long(table(spark, sf_dir, "text_block"), ["document_id", "block_id"], "text", 1200)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_blocks(spark, sf_dir).select("document_id", "block_id").distinct()
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_long(table(spark, sf_dir, "processed_document"), ["document_id"], "normalized_text", 4000)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.family_pairs(table(spark, sf_dir, "dataset_record"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    salt, percents = splits.configured(table(spark, sf_dir, "dataset_config"))
+    return splits.assign_splits(table(spark, sf_dir, "dataset_record"), salt, percents)[0]
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": "SELECT DISTINCT document_id, block_id FROM text_block WHERE length(text) > 1200",
+    }
