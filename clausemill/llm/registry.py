@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.llm import cross_split, leaks, near_duplicates, splits, splitting
+from clausemill.llm import cross_split, leaks, near_duplicates, privacy, splits, splitting
 from clausemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,24 @@ def p2_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.entities(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_entities(spark, sf_dir).select("document_id", "kind", "start_char").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typed placeholders, and the corrected codes."""
+    return privacy.redacted(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
+
+
+def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with keyed surrogates, and the corrected codes."""
+    return privacy.redacted(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"), key="clausemill")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.ordered_pairs(cross_split.cross_split_pairs(table(spark, sf_dir, "dataset_record"), threshold=0.70))
 
@@ -61,7 +79,7 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits]
     return {f.__name__: f for f in found}
 
 
