@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.llm import cross_split, leaks, near_duplicates, privacy, sentences, splits, splitting
+from clausemill.llm import cross_split, leaks, mixing, near_duplicates, packing, privacy, sentences, splits, splitting
 from clausemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,12 +78,28 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "dataset_record"), salt, percents)[0]
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.items(table(spark, sf_dir, "documents"), 4096), 4096)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, sf_dir), 4096)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p9_found]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
     return {f.__name__: f for f in found}
 
 
