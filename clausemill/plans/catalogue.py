@@ -1,17 +1,560 @@
-"""The query catalogue of the engine's own operators and their SQL twins."""
+"""The query catalogue of the engine's own operators and their SQL twins.
+
+Every query runs over its whole tables.  Ratios are one division, rounded to nine
+places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from clausemill.functions import text as T
+from clausemill.operators import dataset as D, documents as O, metrics as M, retrieval as R, runs as X
+from clausemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+CATALOGUE: dict[str, tuple[Query, str | None]] = {}
+
+#: Blanks as RE2 sees them when all of Unicode's are named.
+B = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WORDS = rf"list_filter(string_split_regex(lower(coalesce(%s, '')), '{B}+'), lambda x: x <> '')"
+TOKENS = "regexp_extract_all(lower(%s), '[a-z0-9]+')"
+SPLIT = "lower(trim(translate(split, '_-', '  ')))"
+RECORDS = "(SELECT DISTINCT record_id, subset, family_id, document_ids, source_texts, rights_status, source_license, source_name, synthetic, split, answer, turns FROM dataset_record)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        f.__name__ = name
+        CATALOGUE[name] = (f, sql)
+        return f
+
+    return add
+
+
+def shingle_sql(size: int) -> str:
+    """Distinct runs of words of every document, as column sh."""
+    return f"""w AS (SELECT document_id, {WORDS % 'normalized_text'} AS w FROM processed_document),
+ s AS (SELECT document_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(list_slice(w, i, i + {size - 1}), ' '))) END AS sh FROM w)"""
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "processed_document")
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Records, each once (rows delivered twice differ in nothing)."""
+    return table(spark, d, "dataset_record").dropDuplicates(["record_id"])
+
+
+REDACTED = (
+    r"regexp_replace(regexp_replace(regexp_replace(normalized_text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[REDACTED_EMAIL]', 'g'),"
+    r" '\b(?:\+1[-.\s\x{00a0}]?)?(?:\(?\d{3}\)?[-.\s\x{00a0}]?)\d{3}[-.\s\x{00a0}]?\d{4}\b', '[REDACTED_PHONE]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g')"
+)
+
+
+@query("redact_documents", f"SELECT document_id, sha256({REDACTED}) AS sha256, length({REDACTED}) AS chars FROM processed_document")
+def _(spark, d):
+    text = T.redact(F.col("normalized_text"))
+    return docs(spark, d).select("document_id", F.sha2(text, 256).alias("sha256"), F.length(text).cast("bigint").alias("chars"))
+
+
+@query(
+    "redaction_code_counts",
+    f"""WITH r AS (SELECT {REDACTED} AS t, normalized_text AS o FROM processed_document)
+    SELECT code, count(*) AS documents FROM (
+      SELECT 'email' AS code FROM r WHERE contains(t, '[REDACTED_EMAIL]') AND NOT contains(o, '[REDACTED_EMAIL]')
+      UNION ALL SELECT 'phone' FROM r WHERE contains(t, '[REDACTED_PHONE]') AND NOT contains(o, '[REDACTED_PHONE]')
+      UNION ALL SELECT 'ssn' FROM r WHERE contains(t, '[REDACTED_SSN]') AND NOT contains(o, '[REDACTED_SSN]')) GROUP BY code""",
+)
+def _(spark, d):
+    return docs(spark, d).select(F.explode(T.redaction_codes(F.col("normalized_text"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("documents"))
+
+
+COLLAPSED = rf"regexp_replace(array_to_string(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '{B}+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '^{B}+|{B}+$', '', 'g')"
+
+
+@query("collapse_lines", f"SELECT doc_id, sha256({COLLAPSED}) AS sha256 FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(T.collapse_lines(F.col("text")), 256).alias("sha256"))
+
+
+@query("normalize_text")
+def _(spark, d):
+    """Compatibility composition has no SQL twin; the pytest literals hold it."""
+    return table(spark, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("normalized"))
+
+
+SEGMENTS = rf"""WITH flat AS (SELECT document_id, regexp_replace(array_to_string(list_transform(string_split_regex(normalized_text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '{B}+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '^{B}+|{B}+$', '', 'g') AS t FROM processed_document),
+ l AS (SELECT document_id, list_filter(string_split(t, chr(10)), lambda x: x <> '') AS lines FROM flat),
+ e AS (SELECT document_id, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS n FROM l),
+ o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS end_char FROM e),
+ k AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(text, '^[# ]+', ''), '(?i)^(?:exhibit|schedule|appendix)\b') THEN 'exhibit' WHEN contains(text, '|') THEN 'table'
+   WHEN regexp_matches(text, '(?i)^(?:#{{1,3}}\s+.+|article\s+[ivxlcdm0-9]+(?:\s*[.:-].*)?|section\s+[0-9]+(?:\.[0-9]+)*(?:\s*[.:-].*)?|(?:exhibit|schedule|appendix)\s+[a-z0-9]+(?:\s*[.:-].*)?|[0-9]+\.(?:[0-9]+(?:\.[0-9]+)*\.?)?\s+[A-Z].+)$') THEN 'heading' ELSE 'paragraph' END AS kind FROM o)"""
+
+
+@query(
+    "segment_blocks",
+    SEGMENTS
+    + " SELECT document_id, 'block-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') AS block_id, kind, text, CASE WHEN kind IN ('heading', 'exhibit') THEN trim(regexp_replace(text, '^[# ]+', '')) END AS heading, (end_char - length(text))::INT AS start_char, end_char::INT AS end_char FROM k",
+)
+def _(spark, d):
+    return O.segment(docs(spark, d), normalize=False)
+
+
+@query("block_kind_counts", SEGMENTS + " SELECT source.family_id AS family_id, kind, count(*) AS blocks FROM k JOIN processed_document USING (document_id) GROUP BY ALL")
+def _(spark, d):
+    families = docs(spark, d).select("document_id", F.col("source.family_id").alias("family_id"))
+    return O.segment(docs(spark, d), normalize=False).select("document_id", "kind").join(families, "document_id").groupBy("family_id", "kind").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query("delivered_block_kinds", "SELECT kind, count(*) AS blocks, count(DISTINCT document_id) AS documents, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM text_block GROUP BY kind")
+def _(spark, d):
+    return table(spark, d, "text_block").groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("document_id").alias("documents"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("bigint").alias("longest"))
+
+
+@query(
+    "offset_violations",
+    "SELECT DISTINCT b.document_id, b.block_id, b.start_char, b.end_char FROM text_block b JOIN processed_document p USING (document_id) WHERE substr(p.normalized_text, b.start_char + 1, b.end_char - b.start_char) IS DISTINCT FROM b.text",
+)
+def _(spark, d):
+    return O.offset_violations(table(spark, d, "text_block"), docs(spark, d))
+
+
+@query("text_sha256", "SELECT document_id, sha256(normalized_text) AS sha256, sha256(normalized_text) = source.normalized_text_sha256 AS as_stored FROM processed_document")
+def _(spark, d):
+    sha = F.sha2("normalized_text", 256)
+    return docs(spark, d).select("document_id", sha.alias("sha256"), (sha == F.col("source.normalized_text_sha256")).alias("as_stored"))
+
+
+@query(
+    "exact_duplicates",
+    "SELECT document_id, f AS duplicate_of FROM (SELECT document_id, min(document_id) OVER (PARTITION BY normalized_text) AS f FROM processed_document WHERE normalized_text IS NOT NULL) WHERE document_id <> f",
+)
+def _(spark, d):
+    return O.exact_duplicates(docs(spark, d))
+
+
+@query("shingle_counts", f"WITH {shingle_sql(5)} SELECT document_id, len(sh)::INT AS shingles FROM s")
+def _(spark, d):
+    return docs(spark, d).select("document_id", F.size(T.shingles(F.col("normalized_text"), 5)).alias("shingles"))
+
+
+NEAR = f"""WITH {shingle_sql(5)}, e AS (SELECT document_id, len(sh) AS n, hash(unnest(sh)) AS g FROM s),
+ p AS (SELECT a.document_id AS a, b.document_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.document_id < b.document_id GROUP BY ALL HAVING c >= 0.85 * (any_value(a.n) + any_value(b.n) - c))"""
+
+
+@query("near_duplicates", NEAR + " SELECT b AS document_id, a AS near_duplicate_of, round(c / (na + nb - c), 9) AS similarity FROM p")
+def _(spark, d):
+    return O.near_duplicates(docs(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    "cross_family_near_dups",
+    NEAR + " SELECT b AS document_id, y.source.family_id AS later_family, a AS near_duplicate_of, x.source.family_id AS earlier_family, round(c / (na + nb - c), 9) AS similarity FROM p JOIN processed_document x ON x.document_id = a JOIN processed_document y ON y.document_id = b WHERE x.source.family_id <> y.source.family_id",
+)
+def _(spark, d):
+    families = docs(spark, d).select("document_id", F.col("source.family_id").alias("family_id"))
+    return O.cross_family(O.near_duplicates(docs(spark, d)), families).withColumn("similarity", F.round("similarity", 9))
+
+
+BUCKET = "(('0x' || substr(sha256(c.splits.salt || ':' || r.family_id), 1, 8))::BIGINT % 100)"
+
+
+@query(
+    "family_split",
+    f"SELECT DISTINCT r.record_id, r.family_id, coalesce({BUCKET}, -1) AS bucket, CASE WHEN {BUCKET} < c.splits.train_percent THEN 'train' WHEN {BUCKET} < c.splits.train_percent + c.splits.validation_percent THEN 'validation' WHEN r.family_id IS NOT NULL THEN 'test' END AS split FROM dataset_record r, dataset_config c",
+)
+def _(spark, d):
+    """Records without a family have bucket -1 and no split."""
+    found = D.hashed_splits(table(spark, d, "dataset_record"), table(spark, d, "dataset_config"))
+    return found.withColumn("bucket", F.coalesce("bucket", F.lit(-1).cast("bigint")))
+
+
+@query("split_statistics", f"SELECT subset, split, count(*) AS records FROM (SELECT subset, {SPLIT} AS split FROM {RECORDS}) GROUP BY ROLLUP (subset, split)")
+def _(spark, d):
+    return D.split_statistics(records(spark, d).select("subset", T.normalize_split(F.col("split")).alias("split")))
+
+
+@query(
+    "dataset_statistics",
+    f"""WITH r AS (SELECT * FROM {RECORDS}), p AS (SELECT * FROM r WHERE split IS NOT NULL)
+    SELECT 'records' AS metric, count(*) AS value FROM r UNION ALL SELECT 'families', count(DISTINCT family_id) FROM p UNION ALL SELECT 'documents', count(DISTINCT x) FROM (SELECT unnest(document_ids) AS x FROM p)
+    UNION ALL SELECT 'synthetic', count(*) FILTER (WHERE synthetic) FROM p UNION ALL SELECT 'split:' || split, count(*) FROM p GROUP BY split UNION ALL SELECT 'licence:' || coalesce(source_license, rights_status), count(*) FROM p GROUP BY 1""",
+)
+def _(spark, d):
+    return D.statistics(records(spark, d))
+
+
+@query("subset_counts", f"SELECT subset, count(*) AS total, count(*) FILTER (WHERE s = 'train') AS train, count(*) FILTER (WHERE s = 'validation') AS validation, count(*) FILTER (WHERE s = 'test') AS test FROM (SELECT subset, {SPLIT} AS s FROM {RECORDS}) WHERE s IS NOT NULL GROUP BY subset")
+def _(spark, d):
+    return D.subset_counts(records(spark, d).withColumn("split", T.normalize_split(F.col("split"))))
+
+
+@query("duplicate_ids", "SELECT record_id, count(*) AS times FROM dataset_record GROUP BY record_id HAVING count(*) > 1")
+def _(spark, d):
+    return D.duplicate_ids(table(spark, d, "dataset_record"))
+
+
+@query(
+    "family_split_leakage",
+    f"SELECT family_id, array_to_string(list_sort(list(DISTINCT s)), ', ') AS splits FROM (SELECT family_id, coalesce({SPLIT}, 'unassigned') AS s FROM dataset_record WHERE family_id IS NOT NULL) GROUP BY family_id HAVING count(DISTINCT s) > 1",
+)
+def _(spark, d):
+    return D.family_split_leakage(table(spark, d, "dataset_record").withColumn("split", T.normalize_split(F.col("split"))))
+
+
+@query(
+    "document_family_leakage",
+    "SELECT document_id, array_to_string(list_sort(list(DISTINCT family_id)), ', ') AS families FROM (SELECT family_id, unnest(document_ids) AS document_id FROM dataset_record WHERE family_id IS NOT NULL) GROUP BY document_id HAVING count(DISTINCT family_id) > 1",
+)
+def _(spark, d):
+    return D.document_family_leakage(table(spark, d, "dataset_record"))
+
+
+@query(
+    "licence_records",
+    f"SELECT document_id, family_id, source_name, rights_status, source_license, synthetic FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY subset, record_id) AS n FROM (SELECT *, unnest(document_ids) AS document_id FROM {RECORDS})) WHERE n = 1",
+)
+def _(spark, d):
+    return D.licence_records(records(spark, d))
+
+
+BLOCKED = "(SELECT unnest(exclusion.blocked_from_training_document_ids) FROM dataset_config)"
+
+
+@query("records_naming_blocked", f"SELECT DISTINCT record_id FROM (SELECT record_id, unnest(document_ids) AS x FROM dataset_record) WHERE x IN {BLOCKED}")
+def _(spark, d):
+    return D.naming_blocked(records(spark, d), table(spark, d, "dataset_config")).select("record_id")
+
+
+@query("items_not_blocked", f"SELECT item_id, document_id FROM eval_item WHERE document_id NOT IN {BLOCKED}")
+def _(spark, d):
+    blocked = table(spark, d, "dataset_config").select(F.explode("exclusion.blocked_from_training_document_ids").alias("document_id"))
+    return table(spark, d, "eval_item").join(blocked, "document_id", "left_anti").select("item_id", "document_id")
+
+
+EVIDENCE = f"(SELECT record_id, (unnest(range(len(answer.evidence))))::INT AS ordinal, unnest(answer.evidence) AS e, source_texts FROM {RECORDS})"
+
+
+@query(
+    "evidence_failures",
+    f"""SELECT record_id, ordinal, document_id, failure FROM (SELECT record_id, ordinal, e.document_id AS document_id, CASE WHEN s IS NULL THEN 'unknown_document' WHEN NOT contains(s, e.text) THEN 'quote_missing'
+     WHEN e.start_char IS NOT NULL AND e.end_char IS NOT NULL AND substr(s, e.start_char + 1, e.end_char - e.start_char) <> e.text THEN 'offsets_differ' END AS failure FROM (SELECT *, source_texts[e.document_id] AS s FROM {EVIDENCE})) WHERE failure IS NOT NULL""",
+)
+def _(spark, d):
+    return D.evidence_failures(records(spark, d))
+
+
+@query(
+    "locator_violations",
+    f"""SELECT record_id, ordinal, failure FROM (SELECT record_id, ordinal, CASE WHEN (e.start_char IS NULL) <> (e.end_char IS NULL) THEN 'offsets_unpaired' WHEN e.end_char <= e.start_char THEN 'offsets_reversed'
+     WHEN e.start_char IS NULL AND e.page_number IS NULL AND e.section IS NULL THEN 'no_locator' END AS failure FROM {EVIDENCE}) WHERE failure IS NOT NULL""",
+)
+def _(spark, d):
+    return D.locator_violations(records(spark, d))
+
+
+@query("shape_violations", f"SELECT * FROM (SELECT record_id, len(list_filter(document_ids, lambda x: NOT list_contains(map_keys(source_texts), x)))::INT AS missing, len(list_filter(map_keys(source_texts), lambda x: NOT list_contains(document_ids, x)))::INT AS extra FROM {RECORDS}) WHERE missing > 0 OR extra > 0")
+def _(spark, d):
+    return D.shape_violations(records(spark, d))
+
+
+@query(
+    "turn_violations",
+    f"SELECT * FROM (SELECT record_id, len(turns)::INT AS turns, len(list_filter(range(len(turns)), lambda i: turns[i + 1].role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END)) > 0 AS broken FROM {RECORDS} WHERE len(turns) > 0) WHERE broken OR turns < 2",
+)
+def _(spark, d):
+    return D.turn_violations(records(spark, d))
+
+
+@query("turn_statistics", f"SELECT t.role AS role, count(*) AS turns, count(DISTINCT record_id) AS records, sum(length(t.text))::BIGINT AS chars FROM (SELECT DISTINCT record_id, unnest(turns) AS t FROM {RECORDS}) GROUP BY t.role")
+def _(spark, d):
+    return D.turn_statistics(records(spark, d))
+
+
+@query(
+    "quality_sample",
+    f"SELECT record_id, subset, split, 'pending_review' AS review_status FROM (SELECT record_id, subset, split, row_number() OVER (PARTITION BY subset ORDER BY record_id) AS n FROM {RECORDS}) WHERE n <= 2 AND split IS NOT NULL",
+)
+def _(spark, d):
+    return D.quality_sample(records(spark, d), 2).drop("notes")
+
+
+@query("record_checksums")
+def _(spark, d):
+    return D.checksums(records(spark, d), ["record_id", "subset", "family_id", "document_ids", "source_texts", "split"])
+
+
+@query(
+    "record_issues",
+    f"""WITH ev AS (SELECT record_id, ordinal, CASE WHEN s IS NULL THEN 'unknown_document' WHEN NOT contains(s, e.text) THEN 'quote_missing' WHEN e.start_char IS NOT NULL AND e.end_char IS NOT NULL AND substr(s, e.start_char + 1, e.end_char - e.start_char) <> e.text THEN 'offsets_differ' END AS f FROM (SELECT *, source_texts[e.document_id] AS s FROM {EVIDENCE}))
+    SELECT 'evidence' AS code, count(*) AS issues FROM ev WHERE f IS NOT NULL HAVING count(*) > 0
+    UNION ALL SELECT 'record_id', count(*) FROM (SELECT record_id FROM dataset_record GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 'family_split_leakage', count(*) FROM (SELECT family_id FROM dataset_record WHERE family_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT coalesce(split, 'unassigned')) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 'document_family_leakage', count(*) FROM (SELECT x FROM (SELECT family_id, unnest(document_ids) AS x FROM dataset_record WHERE family_id IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT family_id) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 'source_texts', count(*) FROM {RECORDS} WHERE len(list_filter(document_ids, lambda x: NOT list_contains(map_keys(source_texts), x))) > 0 OR len(list_filter(map_keys(source_texts), lambda x: NOT list_contains(document_ids, x))) > 0 HAVING count(*) > 0
+    UNION ALL SELECT 'turns', count(*) FROM {RECORDS} WHERE len(turns) > 0 AND (len(turns) < 2 OR len(list_filter(range(len(turns)), lambda i: turns[i + 1].role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END)) > 0) HAVING count(*) > 0""",
+)
+def _(spark, d):
+    """All issue rows of the collection, counted by code."""
+    return D.issues(table(spark, d, "dataset_record")).groupBy("code").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query("check_report")
+def _(spark, d):
+    return D.check_report(D.issues(records(spark, d)), ["record_id", "evidence", "source_texts", "turns", "family_split_leakage", "document_family_leakage"])
+
+
+@query("tokenize_counts", f"SELECT document_id, len({TOKENS % 'normalized_text'})::INT AS tokens, len(list_distinct({TOKENS % 'normalized_text'}))::INT AS distinct_tokens FROM processed_document")
+def _(spark, d):
+    t = T.tokens(F.col("normalized_text"))
+    return docs(spark, d).select("document_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
+
+
+def _questions(spark, d):
+    return records(spark, d).filter("answer.question is not null").select("record_id", F.col("answer.question").alias("query"), F.explode("document_ids").alias("document_id"))
+
+
+QUERY_TOKENS = TOKENS % "q.query"
+TOPK = f"""WITH q AS (SELECT record_id, answer.question AS query, unnest(document_ids) AS document_id FROM {RECORDS} WHERE answer.question IS NOT NULL), b AS (SELECT DISTINCT document_id, block_id, text FROM text_block),
+ s AS (SELECT q.record_id, q.document_id || ':' || b.block_id AS block_id, b.text, CASE WHEN len({QUERY_TOKENS}) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0, len(list_intersect(list_distinct({QUERY_TOKENS}), list_distinct({TOKENS % 'b.text'}))) / len(list_distinct({QUERY_TOKENS}))
+   + 0.25 * len(list_filter(range(1, len({QUERY_TOKENS})), lambda i: contains(lower(b.text), ({QUERY_TOKENS})[i] || ' ' || ({QUERY_TOKENS})[i + 1])))), 9)::DOUBLE END AS score FROM q JOIN b USING (document_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, block_id, text) AS place FROM s QUALIFY place <= 4)"""
+
+
+def _top_blocks(spark, d):
+    q = _questions(spark, d)
+    blocks = table(spark, d, "text_block").select("document_id", "block_id", "text").distinct()
+    pairs = q.join(blocks, "document_id").select("record_id", F.concat("document_id", F.lit(":"), "block_id").alias("block_id"), "text")
+    return R.rank_blocks(pairs, q.select("record_id", "query").distinct(), "record_id")
+
+
+@query("keyword_topk", TOPK + " SELECT record_id, block_id, score, place::INT AS place FROM k")
+def _(spark, d):
+    return _top_blocks(spark, d).select("record_id", "block_id", "score", "place")
+
+
+@query("context_retrieval", TOPK + " SELECT record_id, sha256(string_agg(text, chr(10) ORDER BY place)) AS sha256, count(*) AS blocks FROM k GROUP BY record_id")
+def _(spark, d):
+    best = _top_blocks(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("b"))
+    return best.select("record_id", F.sha2(F.array_join("b.text", "\n"), 256).alias("sha256"), F.size("b").cast("bigint").alias("blocks"))
+
+
+@query(
+    "context_full",
+    f"SELECT record_id, sha256(array_to_string(list_transform(list_sort(map_keys(source_texts)), lambda k: '[' || k || ']' || chr(10) || regexp_replace(source_texts[k], '^{B}+|{B}+$', '', 'g')), chr(10) || chr(10))) AS sha256 FROM {RECORDS}",
+)
+def _(spark, d):
+    q = records(spark, d).select("record_id", F.lit("").alias("query"))
+    return R.contexts(records(spark, d), q, "full_document").select("record_id", F.sha2("context", 256).alias("sha256"))
+
+
+@query("context_clause_level")
+def _(spark, d):
+    q = records(spark, d).select("record_id", F.coalesce("answer.question", F.lit("")).alias("query"))
+    return R.contexts(records(spark, d), q, "clause_level").select("record_id", F.size("block_ids").alias("blocks"), F.sha2("context", 256).alias("sha256"))
+
+
+@query("json_payload", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE try_cast(props AS JSON) IS NOT NULL")
+def _(spark, d):
+    found = T.json_object(F.col("props"))
+    return table(spark, d, "events").withColumn("j", found).filter("j is not null").select("event_id", F.get_json_object("j", "$.k").cast("bigint").alias("k"))
+
+
+@query(
+    "code_scores",
+    f"""WITH r AS (SELECT document_id, list_filter([CASE WHEN contains({REDACTED}, '[REDACTED_EMAIL]') THEN 'email' END, CASE WHEN contains({REDACTED}, '[REDACTED_PHONE]') THEN 'phone' END, CASE WHEN contains({REDACTED}, '[REDACTED_SSN]') THEN 'ssn' END], lambda x: x IS NOT NULL) AS g, list_distinct(redaction_codes) AS p FROM processed_document),
+    n AS (SELECT document_id, len(p) AS np, len(g) AS ng, len(list_intersect(p, g)) AS h FROM r)
+    SELECT document_id, round(CASE WHEN np = 0 AND ng = 0 THEN 1.0::DOUBLE WHEN np = 0 THEN 0.0::DOUBLE ELSE h / np END, 9) AS precision, round(CASE WHEN ng = 0 THEN 1.0::DOUBLE ELSE h / ng END, 9) AS recall, round(CASE WHEN np = 0 AND ng = 0 THEN 1.0::DOUBLE WHEN h = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * h / (np + ng) END, 9) AS f1 FROM n""",
+)
+def _(spark, d):
+    """Stored codes of the earlier run against those found now, per document."""
+    p, r, f = M.set_scores(F.col("redaction_codes"), T.redaction_codes(F.col("normalized_text")))
+    return docs(spark, d).select("document_id", F.round(p, 9).alias("precision"), F.round(r, 9).alias("recall"), F.round(f, 9).alias("f1"))
+
+
+def _ranking(spark, d):
+    return table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("relevant"))
+
+
+CURVE = """WITH c AS (SELECT l_suppkey, place, tp / place AS precision, CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE tp / total END AS recall FROM (SELECT l_suppkey, row_number() OVER w AS place, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS tp, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey) AS total FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)))"""
+
+
+def _curve(spark, d):
+    return M.pr_curve(_ranking(spark, d), "l_suppkey", [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query("pr_curve", CURVE + " SELECT l_suppkey, place::INT AS place, round(precision, 9) AS precision, round(recall, 9) AS recall FROM c")
+def _(spark, d):
+    return _curve(spark, d).select("l_suppkey", "place", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(
+    "area_under_curve",
+    CURVE + " SELECT l_suppkey, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(sum(step), 0.0::DOUBLE))), 6) AS aupr FROM (SELECT l_suppkey, (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS step FROM c WINDOW w AS (PARTITION BY l_suppkey ORDER BY recall, precision)) GROUP BY l_suppkey",
+)
+def _(spark, d):
+    return M.area_under(_curve(spark, d), "l_suppkey").withColumn("aupr", F.round("aupr", 6))
+
+
+@query("precision_at_recall", CURVE + " SELECT l_suppkey, round(coalesce(max(precision) FILTER (WHERE recall >= 0.8), 0.0), 9) AS precision FROM c GROUP BY l_suppkey")
+def _(spark, d):
+    return M.precision_at_recall(_curve(spark, d), "l_suppkey", 0.8)
+
+
+def _spans(spark, d, flag):
+    return table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag).select("l_suppkey", (F.col("l_partkey") * 7 % 1000).alias("start"), (F.col("l_partkey") * 7 % 1000 + F.col("l_quantity").cast("bigint")).alias("end"))
+
+
+def _merged(flag: str) -> str:
+    return f"""SELECT l_suppkey, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY l_suppkey ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS f
+      FROM (SELECT DISTINCT l_suppkey, l_partkey * 7 % 1000 AS s, l_partkey * 7 % 1000 + l_quantity::BIGINT AS e FROM lineitem WHERE l_returnflag = '{flag}' AND l_quantity::BIGINT > 0))) GROUP BY l_suppkey, i"""
+
+
+@query("span_merge", f'SELECT l_suppkey, s AS start, e AS "end" FROM ({_merged("R")})')
+def _(spark, d):
+    return M.merge_spans(_spans(spark, d, "R"), "l_suppkey")
+
+
+@query(
+    "span_coverage",
+    f"""WITH a AS ({_merged("R")}), b AS ({_merged("A")}), x AS (SELECT coalesce(p.l_suppkey, r.l_suppkey) AS l_suppkey, coalesce(p.n, 0)::BIGINT AS predicted, coalesce(r.n, 0)::BIGINT AS reference FROM (SELECT l_suppkey, sum(e - s) AS n FROM a GROUP BY 1) p FULL JOIN (SELECT l_suppkey, sum(e - s) AS n FROM b GROUP BY 1) r USING (l_suppkey)),
+    o AS (SELECT a.l_suppkey, sum(least(a.e, b.e) - greatest(a.s, b.s))::BIGINT AS overlap FROM a JOIN b ON a.l_suppkey = b.l_suppkey AND a.s < b.e AND b.s < a.e GROUP BY 1)
+    SELECT x.l_suppkey, coalesce(overlap, 0) AS overlap, predicted, reference, round(CASE WHEN predicted = 0 AND reference = 0 THEN 1.0::DOUBLE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE coalesce(overlap, 0) / predicted END, 9) AS precision, round(CASE WHEN reference = 0 THEN 1.0::DOUBLE ELSE coalesce(overlap, 0) / reference END, 9) AS recall FROM x LEFT JOIN o USING (l_suppkey)""",
+)
+def _(spark, d):
+    return M.span_coverage(_spans(spark, d, "R"), _spans(spark, d, "A"), "l_suppkey")
+
+
+def _predictions(spark, d):
+    """Line items as predictions of runs, one run per supplier."""
+    x = table(spark, d, "lineitem")
+    parsed, valid, correct, evidence = F.col("l_discount") > 0.005, F.col("l_tax") > 0.005, F.col("l_returnflag") == "R", F.col("l_linenumber") > 2
+    mode = F.when(F.col("l_linenumber") % 2 == 0, "direct").otherwise("schema")
+    return x.select(
+        F.col("l_suppkey").alias("run_id"),
+        F.when(F.col("l_linenumber") == 1, "structured_extraction").when(F.col("l_linenumber") == 2, "evidence_conversation").otherwise("refusal_uncertainty").alias("subset"),
+        valid.alias("schema_valid"),
+        (F.col("l_quantity") / 50).alias("content_score"),
+        evidence.alias("evidence"),
+        X.error_class(mode, parsed, valid, correct, evidence).alias("error_class"),
+        F.col("l_quantity").cast("bigint").alias("completion_tokens"),
+        F.col("l_tax").alias("latency_seconds"),
+        F.col("l_extendedprice").alias("peak_vram_mb"),
+        F.col("l_orderkey").alias("ordinal"),
+        ((F.col("l_orderkey") % 997 == 0) & (F.col("l_linenumber") == 1)).alias("oom"),
+    )
+
+
+PREDICTIONS = """(SELECT l_suppkey AS run_id, CASE l_linenumber WHEN 1 THEN 'structured_extraction' WHEN 2 THEN 'evidence_conversation' ELSE 'refusal_uncertainty' END AS subset, l_tax > 0.005 AS schema_valid, l_quantity / 50 AS content_score, l_linenumber > 2 AS evidence,
+  CASE WHEN NOT l_discount > 0.005 THEN CASE WHEN l_linenumber % 2 = 0 THEN 'prompt_error' ELSE 'parse_error' END WHEN NOT l_tax > 0.005 THEN 'validation_error' WHEN l_returnflag = 'R' THEN 'correct' WHEN NOT l_linenumber > 2 THEN 'retrieval_error' ELSE 'model_error' END AS error_class,
+  l_quantity::BIGINT AS completion_tokens, l_tax AS latency_seconds, l_extendedprice AS peak_vram_mb, l_orderkey AS ordinal, l_orderkey % 997 = 0 AND l_linenumber = 1 AS oom FROM lineitem)"""
+
+
+@query("error_taxonomy", f"SELECT run_id, error_class, count(*) AS n FROM {PREDICTIONS} GROUP BY ALL")
+def _(spark, d):
+    return X.error_counts(_predictions(spark, d))
+
+
+@query(
+    "dominant_error",
+    f"SELECT run_id, coalesce(arg_max(error_class, (n, error_class)) FILTER (WHERE error_class <> 'correct'), 'correct') AS dominant_error FROM (SELECT run_id, error_class, count(*) AS n FROM {PREDICTIONS} GROUP BY ALL) GROUP BY run_id",
+)
+def _(spark, d):
+    return X.dominant_error(X.error_counts(_predictions(spark, d)))
+
+
+METRICS = f"""SELECT run_id, count(*) AS predictions, round(avg(schema_valid::INT::DOUBLE), 6) AS schema_validity, round(coalesce(avg(content_score) FILTER (WHERE subset = 'structured_extraction'), 0), 6) AS extraction_f1,
+  round(coalesce(avg((error_class = 'correct')::INT::DOUBLE) FILTER (WHERE subset <> 'structured_extraction'), 0), 6) AS answer_status_accuracy, round(avg(evidence::INT::DOUBLE), 6) AS evidence_recall, max(peak_vram_mb) AS peak_vram_mb, sum(completion_tokens)::BIGINT AS completion_tokens,
+  round(CASE WHEN sum(completion_tokens) = 0 OR sum(latency_seconds) = 0 THEN 0.0::DOUBLE ELSE sum(completion_tokens) / sum(latency_seconds) END, 4) AS tokens_per_second FROM {PREDICTIONS} GROUP BY run_id"""
+
+
+def _metrics(spark, d):
+    found = X.run_metrics(_predictions(spark, d))
+    return found.select("run_id", "predictions", *(F.round(c, 6).alias(c) for c in ("schema_validity", "extraction_f1", "answer_status_accuracy", "evidence_recall")), "peak_vram_mb", "completion_tokens", F.round("tokens_per_second", 4).alias("tokens_per_second"))
+
+
+@query("run_metrics", METRICS)
+def _(spark, d):
+    return _metrics(spark, d)
+
+
+@query("until_out_of_memory", f"SELECT run_id, count(*) AS predictions FROM (SELECT *, min(ordinal) FILTER (WHERE oom) OVER (PARTITION BY run_id) AS stop FROM {PREDICTIONS}) WHERE stop IS NULL OR ordinal <= stop GROUP BY run_id")
+def _(spark, d):
+    return X.until_out_of_memory(_predictions(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("predictions"))
+
+
+@query(
+    "candidate_ranking",
+    f"""SELECT run_id AS candidate_id, row_number() OVER (ORDER BY practical DESC, schema_validity DESC, extraction_f1 DESC, answer_status_accuracy DESC, evidence_recall DESC, tokens_per_second DESC, peak_vram_mb, run_id DESC)::INT AS place, practical
+     FROM (SELECT *, peak_vram_mb <= 104000 AS practical FROM ({METRICS}))""",
+)
+def _(spark, d):
+    runs = _metrics(spark, d).withColumnRenamed("run_id", "candidate_id").withColumn("practical", F.col("peak_vram_mb") <= 104000)
+    return X.rank_candidates(runs).select("candidate_id", "place", "practical")
+
+
+@query("latest_run", "SELECT o_custkey AS candidate_id, o_orderkey AS ordinal, o_orderdate AS completed_at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
+def _(spark, d):
+    return X.latest_runs(table(spark, d, "orders").select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").alias("completed_at")))
+
+
+@query("missing_candidates", "SELECT c_custkey AS candidate_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"))
+    return X.missing_candidates(expected, table(spark, d, "orders").select(F.col("o_custkey").alias("candidate_id")))
+
+
+@query("scored_tasks", f"SELECT record_id, family_id, subset, answer.question AS query, answer.status AS gold_status, coalesce(len(answer.evidence), 0)::INT AS quotes FROM {RECORDS} WHERE {SPLIT} = 'test' AND subset IN ('structured_extraction', 'evidence_conversation', 'refusal_uncertainty')")
+def _(spark, d):
+    return X.tasks(records(spark, d)).select("record_id", "family_id", "subset", "query", "gold_status", F.greatest(F.coalesce(F.size("quotes"), F.lit(0)), F.lit(0)).alias("quotes"))
+
+
+@query("resume_anti_join", "SELECT document_id FROM source_entry WHERE document_id NOT IN (SELECT document_id FROM pipeline_checkpoint WHERE completed_stage = 'exported' AND document_id IS NOT NULL)")
+def _(spark, d):
+    return O.unfinished(table(spark, d, "source_entry"), table(spark, d, "pipeline_checkpoint")).select("document_id")
+
+
+@query("latest_stage", "SELECT document_id, arg_max(completed_stage, (updated_at, logged_at, completed_stage)) AS completed_stage FROM pipeline_checkpoint GROUP BY document_id")
+def _(spark, d):
+    return O.latest_stage(table(spark, d, "pipeline_checkpoint"))
+
+
+@query("stage_counts", "SELECT completed_stage, count(DISTINCT document_id) AS documents FROM pipeline_checkpoint GROUP BY completed_stage")
+def _(spark, d):
+    return table(spark, d, "pipeline_checkpoint").groupBy("completed_stage").agg(F.countDistinct("document_id").alias("documents"))
+
+
+@query(
+    "family_groups",
+    "SELECT family_id, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS document_ids FROM (SELECT family_id, document_id FROM source_entry UNION ALL SELECT family_id, unnest(related_document_ids) FROM source_entry) WHERE family_id IS NOT NULL AND document_id IS NOT NULL GROUP BY family_id",
+)
+def _(spark, d):
+    return O.family_groups(table(spark, d, "source_entry")).select("family_id", F.array_join("document_ids", ",").alias("document_ids"))
+
+
+@query("media_type_sniff", "SELECT document_id, CASE WHEN regexp_matches(lower(local_path), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(local_path), '\\.txt$') THEN 'text' WHEN regexp_matches(lower(local_path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(local_path), '\\.docx$') THEN 'docx' END AS sniffed, media_type FROM source_entry")
+def _(spark, d):
+    return table(spark, d, "source_entry").select("document_id", T.media_type(F.col("local_path")).alias("sniffed"), "media_type")
+
+
+@query("manifest_urls", "SELECT source_name, count(*) AS entries, count(source_url) AS with_url, count(*) FILTER (WHERE NOT starts_with(source_url, 'https://')) AS insecure FROM source_entry GROUP BY source_name")
+def _(spark, d):
+    return table(spark, d, "source_entry").groupBy("source_name").agg(F.count(F.lit(1)).alias("entries"), F.count("source_url").alias("with_url"), F.count_if(~F.startswith("source_url", F.lit("https://"))).alias("insecure"))
+
+
+@query("patched_duplicates", "SELECT s.document_id, s.family_id, p.duplicate_of, len(p.near_duplicate_of)::INT AS near FROM source_entry s JOIN processed_document p USING (document_id)")
+def _(spark, d):
+    """Duplicate fields of the processed documents beside their manifest rows."""
+    return table(spark, d, "source_entry").select("document_id", "family_id").join(docs(spark, d).select("document_id", "duplicate_of", F.size("near_duplicate_of").alias("near")), "document_id")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for name, (f, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
