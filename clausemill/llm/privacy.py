@@ -41,7 +41,7 @@ _PHONE = re.compile(
 _NO_PHONE = re.compile(r"(?:parcel|drawing|invoice|loan|serial|file|permit|account|meter|folio|plat|deed|order|case|docket|model|lot|sheet|policy|claim|record|instrument|reference|tax)s?(?: identification)?(?: is)?(?: (?:no|nos|number|id)\b\.?)?[:#]? ?$", re.I)
 
 _ID = re.compile(
-    r"\b(?:SSN|S\.S\.N\.|ITIN|social security(?: (?:number|no\.?|#))?|soc\. ?sec\.(?: (?:number|no\.?))?|(?:individual )?taxpayer(?: identification)?(?: (?:number|no\.?|id))|passport(?: (?:number|no\.?))?|driver'?s?'? licen[cs]e(?: (?:number|no\.?))?)"
+    r"\b(?:SSN|S\.S\.N\.|ITIN|social security(?: (?:number|no\.?|#))?|soc\. ?sec\.(?: (?:number|no\.?))?|(?:individual )?taxpayer(?: identification)?(?: (?:number|no\.?|id))|passport(?: (?:number|no\.?))?|driver'?s?'? licen[cs]e(?: (?:number|no\.?))?|D\.L\.(?: (?:number|no\.?))?)"
     r"\s?[:#]?\s?((?=[A-Z0-9\- .]*\d)(?:\d{3}[ .\-]?\d{2}[ .\-]?\d{4}|[A-Z]{1,2}\d{6,9}|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]?\d{1,4}(?:-\d{2,5}){2,3}))(?![\w])",
     re.I,
 )
