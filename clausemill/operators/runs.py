@@ -56,7 +56,7 @@ def scripted(work: DataFrame, outputs: DataFrame, default: str = "NO_JSON") -> D
     """``raw_output`` of a scripted generator: its output for the record, else the default; tokens are words."""
     rows = work.join(outputs.select("record_id", "output"), "record_id", "left")
     raw = F.coalesce("output", F.lit(default))
-    return rows.drop("output").withColumn("raw_output", raw).withColumn("completion_tokens", F.size(T.words(raw)))
+    return rows.withColumn("raw_output", raw).drop("output").withColumn("completion_tokens", F.size(T.words(F.col("raw_output"))))
 
 
 def until_out_of_memory(predictions: DataFrame, run: str = "run_id", order: str = "ordinal") -> DataFrame:
