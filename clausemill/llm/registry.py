@@ -103,7 +103,35 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+#: Blanks as RE2 sees them when all of Unicode's are named.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _similar(rows: str) -> str:
+    """Similar pairs a < b of rows (id, text), as table pairs."""
+    return f"""words AS (SELECT id, list_filter(string_split_regex(lower(text), '{_BLANK}+'), lambda x: x <> '') AS w FROM ({rows})),
+ sets AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM words),
+ spread AS (SELECT id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+ pairs AS (SELECT a.id AS a, b.id AS b FROM spread a JOIN spread b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) >= 0.7 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9)"""
+
+
+_SIDE = "CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'training' THEN 'train' WHEN 'validation' THEN 'validation' WHEN 'val' THEN 'validation' WHEN 'dev' THEN 'validation' WHEN 'test' THEN 'test' WHEN 'testing' THEN 'test' END"
+_FAMILY = f"regexp_replace(lower(regexp_replace(family_id, '^{_BLANK}+|{_BLANK}+$', '', 'g')), '({_BLANK}|[_-])+', '-', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""WITH RECURSIVE {_similar("SELECT document_id AS id, normalized_text AS text FROM processed_document WHERE normalized_text IS NOT NULL")},
+ edges AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+ SELECT DISTINCT x AS document_a, y AS document_b FROM reach WHERE x < y""",
+        "p4_found": f"""WITH records AS (SELECT DISTINCT record_id, {_SIDE} AS side, array_to_string(list_transform(list_sort(map_keys(source_texts)), lambda k: source_texts[k]), chr(10)) AS text FROM dataset_record),
+ {_similar("SELECT (record_id, side) AS id, text FROM records WHERE side IS NOT NULL AND text IS NOT NULL")},
+ crossed AS (SELECT a[1] AS x, b[1] AS y FROM pairs WHERE (a[2] = 'train') <> (b[2] = 'train') AND a[1] <> b[1])
+ SELECT DISTINCT least(x, y) AS record_a, greatest(x, y) AS record_b FROM crossed""",
         "p5_found": "SELECT DISTINCT document_id, block_id FROM text_block WHERE length(text) > 1200",
+        "p6_found": f"""WITH RECURSIVE r AS (SELECT row_number() OVER () AS n, family_id, {_FAMILY} AS f, document_ids FROM dataset_record),
+ keys AS (SELECT n, 'f:' || f AS k FROM r WHERE f <> '' UNION SELECT n, 'd:' || d FROM (SELECT n, unnest(document_ids) AS d FROM r)),
+ ties AS (SELECT DISTINCT a.k AS x, b.k AS y FROM keys a JOIN keys b USING (n) WHERE a.k LIKE 'f:%' OR b.k LIKE 'f:%' OR a.k <> b.k), families AS (SELECT DISTINCT family_id, 'f:' || f AS k FROM r WHERE f <> ''),
+ reach(x, y) AS (SELECT k, k FROM families UNION SELECT q.x, t.y FROM reach q JOIN ties t ON q.y = t.x)
+ SELECT DISTINCT a.family_id AS family_a, b.family_id AS family_b FROM families a JOIN reach ON reach.x = a.k JOIN families b ON b.k = reach.y WHERE a.family_id < b.family_id""",
     }
