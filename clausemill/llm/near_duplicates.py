@@ -18,8 +18,9 @@ each set's tokens bounds the differing tokens from below; both thin the candidat
 What is left is verified exactly on the whole texts.
 
 Signatures travel packed, five bytes each, one row per document and bucket, so the
-shuffle is smaller than the text.  Runs of one signature longer than ``RUN`` leave
-the bucket as rows and are paired by a distributed join, without a cap.
+shuffle is smaller than the text.  Signatures of frequent tokens only never enter a
+bucket, and runs of one signature longer than ``RUN`` leave it; both become rows that
+a distributed join pairs, without a cap.  So no bucket grows with one signature.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ NEIGHBOURHOODS = 6
 #: Signatures a bucket is sized for, and the longest run paired inside a bucket.
 BUCKET_SIGNATURES = 3_000_000
 RUN = 256
+#: A signature whose tokens all lie in more documents than this may be met by so many
+#: that it is kept out of the buckets and joined as rows.
+HOT_DOCUMENTS = 100_000
 #: Bits of the candidate filter at least and at most (2 MB and 64 MB as broadcast).
 FILTER_BITS = (1 << 24, 1 << 29)
 _HASH_BITS = U64(38)
@@ -155,11 +159,22 @@ class _Signer:
         exact = K.mix(sums + salt)
         near = (slot_segment[slot] < NEIGHBOURHOODS) & (members[slot] > 1) & (np.ones(len(slot), bool) if own else value[slot] == 2)
         cut_sig = K.mix(sums[slot[near]] - mixed[near] + salt[slot[near]])
+        # A cut set is as frequent as the rarest token that is left in it.
+        near_slot, near_price = slot[near], price[near]
+        by = np.lexsort((near_price, near_slot))
+        lead = np.ones(len(by), bool)
+        lead[1:] = near_slot[by][1:] != near_slot[by][:-1]
+        second = np.zeros(len(slots), np.int64)
+        follow = np.flatnonzero(lead[:-1] & ~lead[1:]) + 1
+        second[near_slot[by][follow]] = near_price[by][follow]
+        cut_price = np.empty(len(by), np.int64)
+        cut_price[by] = np.where(lead, second[near_slot[by]], price_of[near_slot[by]])
         emit = np.ones(len(slots), bool) if own else picked
+        hot = np.concatenate((price_of[emit], cut_price)) > HOT_DOCUMENTS
         doc = docs[np.concatenate((slot_doc[emit], slot_doc[slot[near]]))]
         sig = np.concatenate((exact[emit], cut_sig))
         flag = np.concatenate((picked[emit], value[slot[near]] == 2))
-        return doc, sig, flag, docs[short], spare
+        return doc, sig, flag, hot, docs[short], spare
 
     def sign(self, tokens: np.ndarray, offsets: np.ndarray):
         sizes = np.diff(offsets)
@@ -170,16 +185,16 @@ class _Signer:
         docs = np.flatnonzero(sizes > 0)
         band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
         out = []
-        doc, sig, flag, short, spare = self._one_band(tokens, cost, offsets, docs, band[docs], True)
+        doc, sig, flag, hot, short, spare = self._one_band(tokens, cost, offsets, docs, band[docs], True)
         least = np.ones(len(sizes), np.int64)
         least[docs] = spare
-        out.append((doc, sig, np.ones(len(doc), bool), flag))
+        out.append((doc, sig, np.ones(len(doc), bool), flag, hot))
         # A smaller partner may lie one band below (t of 0.5 or more).
         low = docs[(band[docs] > 0) & (np.ceil(sizes[docs] * self.t - 1e-9) < 2 ** band[docs])]
         if len(low):
-            doc, sig, flag, more, spare = self._one_band(tokens, cost, offsets, low, band[low] - 1, False)
+            doc, sig, flag, hot, more, spare = self._one_band(tokens, cost, offsets, low, band[low] - 1, False)
             least[low] = np.minimum(least[low], spare)
-            out.append((doc, sig, np.zeros(len(doc), bool), flag))
+            out.append((doc, sig, np.zeros(len(doc), bool), flag, hot))
             short = np.union1d(short, more)
         return *(np.concatenate(x) for x in zip(*out, strict=True)), short, least
 
@@ -209,6 +224,27 @@ def _packed(signatures: np.ndarray, own: np.ndarray, picked: np.ndarray) -> np.n
     return low | (own.astype(U64) << U64(1)) | picked.astype(U64)
 
 
+def _hot_rows(doc: np.ndarray, sig: np.ndarray, own: np.ndarray, picked: np.ndarray, nodes: np.ndarray, fact: np.ndarray) -> pa.RecordBatch:
+    """Rows of bucket -2: a document's hot signatures, eight bytes each, the last two bits for its role."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    data = ((sig & ~U64(3)) | (own.astype(U64) << U64(1)) | picked.astype(U64))[order]
+    begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    blobs = [data[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(doc)), strict=True)]
+    of = doc[begins]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(of), -2, np.int32)), pa.array(nodes[of].astype(np.int64)), pa.array(fact[of].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([b""] * len(of), pa.binary())], names=["bucket", "node", "size", "sigs", "cells"]
+    )
+
+
+def _hot_members(table: pa.Table) -> pa.Table:
+    blobs = table.column("sigs").to_pylist()
+    sizes = np.array([len(b) // 8 for b in blobs])
+    data = np.frombuffer(b"".join(blobs), np.uint64)
+    node, fact = np.repeat(table.column("node").to_numpy(), sizes), np.repeat(table.column("size").to_numpy(), sizes)
+    return pa.Table.from_pydict({"kind": pa.array(1 + (data & U64(3)).astype(np.int32)), "a": pa.array((data >> U64(2)).view(np.int64)), "b": pa.array(node), "size": pa.array(fact.astype(np.int32))})
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, node, size, sigs); a document that reaches no guarantee comes as bucket -1.
 
@@ -228,8 +264,11 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: in
         nodes = nodes[fresh]
         for row, tokens, offsets in K.shingle_sets(batch.column(1), size):
             sizes = np.diff(offsets)
-            doc, sig, own, picked, short, least = signer.sign(tokens, offsets)
+            doc, sig, own, picked, hot, short, least = signer.sign(tokens, offsets)
             fact = (sizes << 2) | least
+            if hot.any():
+                yield _hot_rows(doc[hot], sig[hot], own[hot], picked[hot], nodes[row:], fact)
+                doc, sig, own, picked = doc[~hot], sig[~hot], own[~hot], picked[~hot]
             bucket = ((sig & U64(0xFFFFFF)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket * len(sizes) + doc, kind="stable")
             key = (bucket * len(sizes) + doc)[order]
@@ -360,7 +399,7 @@ def within(frame: DataFrame, key: str, members: DataFrame, count: int) -> DataFr
     at = place(F.col(key))
     tested = frame.withColumn("_at", at).join(F.broadcast(maps), F.expr("_at div 32768") == F.col("block"))
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast((_at % 32768) div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    return tested.filter(F.expr("1 = 1") & (F.shiftright(byte, 0).bitwiseAND(F.expr("cast(pow(2, _at % 8) as int)")) != 0)).drop("_at", "block", "bitmap")
+    return tested.filter(byte.bitwiseAND(F.expr("cast(pow(2, _at % 8) as int)")) != 0).drop("_at", "block", "bitmap")
 
 
 def _against_all(nodes: DataFrame, short: DataFrame, size: int, t: float) -> DataFrame | None:
@@ -398,11 +437,16 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
     hot, counts, total, documents = frequent_tokens(nodes.select("text"), size)
     signer = _Signer(threshold, hot, counts)
     buckets = min(1 << 24, max(8, math.ceil(total * 0.75 / BUCKET_SIGNATURES)))
+    parts = 1 + documents // 100_000
     rows = nodes.select("node", "text").mapInArrow(lambda it: _signature_rows(it, signer, size, buckets), "bucket int, node long, size int, sigs binary, cells binary")
     met = cut(
-        rows.groupBy("bucket").applyInArrow(lambda table: _bucket_pairs(table, threshold) if table.column("bucket")[0].as_py() >= 0 else _short_rows(table), "kind int, a long, b long, size int")
+        rows.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(0))
+        .groupBy("bucket", "part")
+        .applyInArrow(lambda table: {-2: _hot_members, -1: _short_rows}.get(table.column("bucket")[0].as_py(), lambda x: _bucket_pairs(x, threshold))(table), "kind int, a long, b long, size int")
     )
     runs = met.filter("kind between 1 and 4").select("a", "b", F.shiftright("size", 2).alias("size"), F.col("size").bitwiseAND(3).alias("need"), ((F.col("kind") - 1).bitwiseAND(1) > 0).alias("picked"), ((F.col("kind") - 1).bitwiseAND(2) > 0).alias("own")).distinct()
+    # A signature that nobody picked finds nothing.
+    runs = runs.join(runs.filter("picked").select("a").distinct(), "a", "left_semi")
     x, y = runs.alias("x"), runs.alias("y")
     large = F.greatest("x.size", "y.size")
     long_pairs = (

@@ -88,8 +88,10 @@ def test_near_duplicates_lose_no_link(spark, seed, threshold):
     assert pairs == {(a, b) for a in want for b in want if a < b and want[a] == want[b]}
 
 
-def test_template_corpus_and_long_runs(spark, monkeypatch):
-    """Nearly all tokens frequent, runs longer than allowed in a bucket."""
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_template_corpus_and_long_runs(spark, monkeypatch, hot):
+    """Nearly all tokens frequent, runs longer than allowed in a bucket, signatures kept out of buckets."""
+    monkeypatch.setattr(N, "HOT_DOCUMENTS", hot)
     monkeypatch.setattr(N, "RUN", 8)
     monkeypatch.setattr(N, "FREQUENT_LEAST", 2)
     random.seed(5)
@@ -115,6 +117,16 @@ def test_sets_without_guarantee_go_the_exact_way(spark, monkeypatch):
     assert {r.document_id: r.class_id for r in got} == groups_of(sets, links)
 
 
+def test_hot_signatures_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_DOCUMENTS", 3)
+    monkeypatch.setattr(N, "FREQUENT_LEAST", 2)
+    rows = corpus(21)
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.7]
+    got = N.near_duplicate_groups(spark.createDataFrame(rows, "document_id string, normalized_text string"), threshold=0.7).collect()
+    assert {r.document_id: r.links for r in got} == {i: sum(i in x for x in links) for i in sets}
+
+
 def test_empty_and_threshold(spark):
     empty = spark.createDataFrame([], "document_id string, normalized_text string")
     assert N.near_duplicate_groups(empty).count() == 0
