@@ -75,6 +75,7 @@ _GIVEN_LAST = re.compile(rf"(?<![\w.'\-])({_FAMILY}), $")
 _INITIALED = re.compile(rf"(?<![\w.'\-])({_INITIAL} ?(?:{_INITIAL} ?)?)({_FAMILY})")
 _FIRM = frozenset("Inc LLC L.L.C LLP LP Ltd Co Corp Trust Company Corporation Partners Partnership Group INC LTD CO CORP TRUST COMPANY GmbH PLC".split())
 _STRUCTURE = frozenset(w for x in f"Building|Tower|Towers|Center|Centre|Plaza|Arcade|Galleria|Mall|Commons|House|Park|Works|Exchange|Market|Hall|Garage|garage|{_SUFFIX}".split("|") for w in (x, x.upper()))
+_TRADE = frozenset(w for x in "Ventures Holdings Leasing Realty Retail Interiors Outfitters Properties Capital Asset Enterprises Associates Industries Services".split() for w in (x, x.upper()))
 _PARTNER = re.compile(rf"(?:,? (?:Inc|LLC|LLP|LP|Ltd|INC|LTD)\b| (?:&|and|AND) {_WORD}(?:-{_WORD})? (?:LLP|LLC|LP|L\.L\.P))")
 _NEXT = re.compile(rf",? ({_WORD}(?:-{_WORD})?|LLC|LP|LLP)(?![\w])")
 _NO_PERSON = frozenset(
@@ -163,7 +164,7 @@ def _goes_on(text: str, end: int, forms: NameForms) -> bool:
         if m is None or (step == 0 and text[at] == ","):
             return False
         word = m[1]
-        if word in _FIRM or (step == 0 and word in _STRUCTURE):
+        if word in _FIRM or (step == 0 and (word in _STRUCTURE or word in _TRADE)):
             return True
         if word.lower() in _NO_PERSON or word.lower() in forms.given or forms.family_like(word):
             return False
