@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.functions import text as T
 from clausemill.operators import dataset as D, documents as O, metrics as M, retrieval as R, runs as X
+from clausemill.plans import baseline as B2
 from clausemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,6 +553,28 @@ def _(spark, d):
     return table(spark, d, "source_entry").select("document_id", "family_id").join(docs(spark, d).select("document_id", "duplicate_of", F.size("near_duplicate_of").alias("near")), "document_id")
 
 
+@query("answered_without_evidence", f"SELECT record_id FROM {RECORDS} WHERE answer.status = 'answered' AND coalesce(len(answer.evidence), 0) = 0")
+def _(spark, d):
+    return records(spark, d).filter((F.col("answer.status") == "answered") & (F.coalesce(F.size("answer.evidence"), F.lit(0)) == 0)).select("record_id")
+
+
+_VALID = "answer.status IN ('answered', 'insufficient_evidence', 'conflicting_evidence', 'unreadable_source') AND answer.confidence BETWEEN 0 AND 1 AND answer.explanation IS NOT NULL AND (answer.status <> 'answered' OR len(answer.evidence) > 0)"
+
+
+@query(
+    "scripted_run",
+    f"""SELECT record_id, subset, CASE WHEN answer.confidence < 0.2 THEN 'parse_error' WHEN NOT ({_VALID}) THEN 'validation_error' ELSE 'correct' END AS error_class,
+     len(list_filter(answer.evidence, lambda e: e.text <> '' AND NOT contains(array_to_string(list_transform(map_values(source_texts), lambda t: t), chr(10)), e.text))) = 0 AS evidence
+     FROM {RECORDS} WHERE {SPLIT} = 'test' AND subset IN ('evidence_conversation', 'refusal_uncertainty') AND answer IS NOT NULL""",
+)
+def _(spark, d):
+    """A run whose generator repeats the stored answer, or prose where its confidence is low."""
+    rows = records(spark, d).filter("answer is not null")
+    outputs = rows.select("record_id", F.when(F.col("answer.confidence") < 0.2, "no object here").otherwise(F.concat(F.lit("Here it is: "), F.to_json("answer"))).alias("output"))
+    found = B2.predict(rows, B2.scripted(outputs), "Record ID: {record_id}\n{question}\n\n{context}")
+    return found.select("record_id", "subset", "error_class", "evidence")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in CATALOGUE.items()}
 
