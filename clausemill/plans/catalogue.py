@@ -14,6 +14,7 @@ from clausemill.functions import text as T
 from clausemill.operators import dataset as D, documents as O, metrics as M, retrieval as R, runs as X
 from clausemill.plans import baseline as B2
 from clausemill.session import table
+from clausemill.sources import manifests as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -547,6 +548,15 @@ def _(spark, d):
     return table(spark, d, "source_entry").groupBy("source_name").agg(F.count(F.lit(1)).alias("entries"), F.count("source_url").alias("with_url"), F.count_if(~F.startswith("source_url", F.lit("https://"))).alias("insecure"))
 
 
+@query(
+    "manifest_violations",
+    """SELECT DISTINCT document_id, failure FROM (SELECT document_id, 'insecure_url' AS failure FROM source_entry WHERE NOT starts_with(source_url, 'https://') UNION ALL SELECT document_id, 'licence_unnamed' FROM source_entry WHERE rights_status = 'open_license' AND source_license IS NULL
+     UNION ALL SELECT document_id, 'review_without_notes' FROM source_entry WHERE rights_status = 'review_required' AND rights_notes IS NULL UNION ALL SELECT document_id, 'id_repeated' FROM source_entry GROUP BY document_id HAVING count(*) > 1)""",
+)
+def _(spark, d):
+    return S.violations(table(spark, d, "source_entry"))
+
+
 @query("patched_duplicates", "SELECT s.document_id, s.family_id, p.duplicate_of, len(p.near_duplicate_of)::INT AS near FROM source_entry s JOIN processed_document p USING (document_id)")
 def _(spark, d):
     """Duplicate fields of the processed documents beside their manifest rows."""

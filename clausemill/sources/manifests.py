@@ -103,3 +103,26 @@ def write_json(path: str, value: dict) -> None:
 def append_rows(frame: DataFrame, path: str) -> None:
     """Append rows to a JSON-lines log (a folder of parts)."""
     frame.write.mode("append").json(path)
+
+
+def export_schemas(folder: str) -> list[str]:
+    """Write the record schemas as JSON files; their names."""
+    made = []
+    for name, ddl in {"source_entry": SOURCE_ENTRY, "record": RECORD, "answer": f"answer {ANSWER}"}.items():
+        write_json(os.path.join(folder, f"{name}.schema.json"), json.loads(StructType.fromDDL(ddl).json()))
+        made.append(f"{name}.schema.json")
+    return made
+
+
+def violations(entries: DataFrame) -> DataFrame:
+    """``document_id, failure``: entries of an insecure address, an open licence without a name, a review without notes, or a repeated id."""
+    failure = F.array_compact(
+        F.array(
+            F.when(~F.startswith("source_url", F.lit("https://")), "insecure_url"),
+            F.when((F.col("rights_status") == "open_license") & F.col("source_license").isNull(), "licence_unnamed"),
+            F.when((F.col("rights_status") == "review_required") & F.col("rights_notes").isNull(), "review_without_notes"),
+        )
+    )
+    single = entries.select("document_id", F.explode(failure).alias("failure"))
+    repeated = entries.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("document_id", F.lit("id_repeated").alias("failure"))
+    return single.unionByName(repeated).distinct()

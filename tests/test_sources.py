@@ -99,6 +99,14 @@ def test_scans(spark, tmp_path):
     assert manifests.config(str(tmp_path / "out" / "r.json")) == {"a": 2, "b": 1}
 
 
+def test_schemas_and_violations(spark, tmp_path):
+    assert manifests.export_schemas(str(tmp_path)) == ["source_entry.schema.json", "record.schema.json", "answer.schema.json"]
+    assert json.loads((tmp_path / "record.schema.json").read_text())["type"] == "struct"
+    rows = [("a", "http://x", "public_domain", None, None), ("b", None, "open_license", None, None), ("c", "https://x", "review_required", None, ""), ("c", "https://x", "public_domain", None, None)]
+    frame = spark.createDataFrame(rows, "document_id string, source_url string, rights_status string, source_license string, rights_notes string")
+    assert sorted(tuple(r) for r in manifests.violations(frame).collect()) == [("a", "insecure_url"), ("b", "licence_unnamed"), ("c", "id_repeated")]
+
+
 def test_stream_counts_files_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
