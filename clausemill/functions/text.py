@@ -105,6 +105,17 @@ def shingles(text: Column, size: int = 5) -> Column:
     return bound(words(text), of)
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """The set of ``shingles`` as sorted 64-bit hashes, without building their strings."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, size)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(runs)))
+
+    return bound(words(text), of)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets: 1 where both are empty, 0 where one is."""
     shared = F.size(F.array_intersect(a, b))

@@ -86,7 +86,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.85, size: int = 5
     """
     base = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
     member = base.select("id", F.xxhash64("text").alias("node")).distinct()
-    sets = cut(base.select(F.xxhash64("text").alias("node"), F.transform(T.shingles(F.col("text"), size), lambda s: F.xxhash64(s)).alias("set")).dropDuplicates(["node"]))
+    sets = cut(base.select(F.xxhash64("text").alias("node"), T.shingle_hashes(F.col("text"), size).alias("set")).dropDuplicates(["node"]))
     spread = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("token"))
     often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Tokens of one text only meet nobody; they still count for the prefix, and stand first.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clausemill.functions import text as T
 from clausemill.operators import dataset as D, documents as O, metrics as M, retrieval as R, runs as X
 from clausemill.plans import baseline as B2
-from clausemill.session import table
+from clausemill.session import table, text_table
 from clausemill.sources import manifests as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def shingle_sql(size: int) -> str:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "processed_document")
+    return text_table(spark, d, "processed_document")
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +80,13 @@ COLLAPSED = rf"regexp_replace(array_to_string(list_transform(string_split_regex(
 
 @query("collapse_lines", f"SELECT doc_id, sha256({COLLAPSED}) AS sha256 FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(T.collapse_lines(F.col("text")), 256).alias("sha256"))
+    return text_table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(T.collapse_lines(F.col("text")), 256).alias("sha256"))
 
 
 @query("normalize_text")
 def _(spark, d):
     """Compatibility composition has no SQL twin; the pytest literals hold it."""
-    return table(spark, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("normalized"))
+    return text_table(spark, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("normalized"))
 
 
 SEGMENTS = rf"""WITH flat AS (SELECT document_id, regexp_replace(array_to_string(list_transform(string_split_regex(normalized_text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '{B}+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '^{B}+|{B}+$', '', 'g') AS t FROM processed_document),

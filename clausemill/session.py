@@ -34,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take work: one that comes as a single file is spread over the cores.
+
+    Tables of many files are read as they lie; filters and column choices still reach
+    the scan through the exchange.
+    """
+    frame = table(spark, sf_dir, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    single = path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).getFileStatus(path).isFile()
+    return frame.repartition(spark.sparkContext.defaultParallelism) if single else frame
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
