@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.llm import cross_split, leaks, mixing, near_duplicates, packing, privacy, sentences, splits, splitting
-from clausemill.session import table
+from clausemill.session import table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "processed_document"), threshold=0.70)
+    return near_duplicates.near_duplicate_groups(text_table(spark, sf_dir, "processed_document"), threshold=0.70)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = leaks.blocked_items(table(spark, sf_dir, "eval_item"), table(spark, sf_dir, "dataset_config"))
-    return leaks.leaks(table(spark, sf_dir, "processed_document"), items)
+    return leaks.leaks(text_table(spark, sf_dir, "processed_document"), items)
 
 
 def p2_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p2_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.entities(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
+    return privacy.entities(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with typed placeholders, and the corrected codes."""
-    return privacy.redacted(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
+    return privacy.redacted(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
 
 
 def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with keyed surrogates, and the corrected codes."""
-    return privacy.redacted(table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"), key="clausemill")
+    return privacy.redacted(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"), key="clausemill")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_long(table(spark, sf_dir, "processed_document"), ["document_id"], "normalized_text", 4000)
+    return splitting.split_long(text_table(spark, sf_dir, "processed_document"), ["document_id"], "normalized_text", 4000)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.items(table(spark, sf_dir, "documents"), 4096), 4096)
+    return packing.pack(packing.items(text_table(spark, sf_dir, "documents"), 4096), 4096)
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,15 +87,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+    return mixing.mixture(text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+    return mixing.mixture(text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+    return sentences.sentence_units(text_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
