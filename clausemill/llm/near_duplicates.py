@@ -54,8 +54,11 @@ HOT_DOCUMENTS = 100_000
 #: Bits of the candidate filter at least and at most (2 MB and 64 MB as broadcast).
 FILTER_BITS = (1 << 24, 1 << 29)
 _HASH_BITS = U64(38)
-#: Cells of the token histogram that travels with the signatures, four bits each.
+#: Cells of the token histogram, four bits each.
 CELLS = 128
+#: With so many buckets at most a histogram travels with each row; with more, when a row
+#: holds few signatures, histograms are joined to the candidates instead.
+CARRIED = 64
 
 
 def differing(size: np.ndarray, other: np.ndarray, t: float) -> np.ndarray:
@@ -245,6 +248,37 @@ def _hot_members(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict({"kind": pa.array(1 + (data & U64(3)).astype(np.int32)), "a": pa.array((data >> U64(2)).view(np.int64)), "b": pa.array(node), "size": pa.array(fact.astype(np.int32))})
 
 
+def _cell_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """node, size, cells of every text."""
+    for batch in batches:
+        for row, tokens, offsets in K.shingle_sets(batch.column(1), size):
+            n = len(offsets) - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.diff(offsets).astype(np.int32)), pa.array([x.tobytes() for x in _histograms(tokens, offsets)], pa.binary())], names=["node", "size", "cells"])
+
+
+def _thin_rows(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, CELLS // 2) for i in (3, 5))
+        sizes = np.concatenate((batch.column(2).to_numpy(), batch.column(4).to_numpy())).astype(np.int64)
+        at = np.arange(batch.num_rows)
+        keep = pa.array(_near_enough(np.concatenate((x, y)), sizes, at, at + batch.num_rows, t))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def _thinned(nodes: DataFrame, pairs: DataFrame, size: int, t: float) -> DataFrame:
+    """Candidates that the histograms of their texts leave possible."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    cells = cut(within(nodes.select("node", "text"), "node", members, 2 * pairs.count()).mapInArrow(lambda it: _cell_rows(it, size), "node long, size int, cells binary").dropDuplicates(["node"]))
+    joined = (
+        pairs.join(cells.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("cells").alias("ca")), "a")
+        .join(cells.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("cells").alias("cb")), "b")
+        .select("a", "b", "na", "ca", "nb", "cb")
+    )
+    return cut(joined.mapInArrow(lambda it: _thin_rows(it, t), "a long, b long"))
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, node, size, sigs); a document that reaches no guarantee comes as bucket -1.
 
@@ -277,7 +311,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: in
             ends = np.append(begins[1:], len(key)).astype(np.int64) if len(key) else begins
             blobs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((np.append(begins, ends[-1:] if len(ends) else 0) * 5).astype(np.int32)), pa.py_buffer(data)])
             row_doc = key[begins] % len(sizes) if len(key) else begins
-            cells = pa.array([x.tobytes() for x in _histograms(tokens, offsets)], pa.binary())
+            cells = pa.array([x.tobytes() for x in _histograms(tokens, offsets)] if buckets <= CARRIED else [b""] * len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((key[begins] // len(sizes), np.full(len(short), -1))).astype(np.int32)),
@@ -353,7 +387,7 @@ def _bucket_pairs(table: pa.Table, t: float) -> pa.Table:
     picked, own = (packed & U64(1)).astype(bool), (packed & U64(2)).astype(bool)
     short = ~long & useful
     pairs, times = _pairs_of(signature[short], member[short], node_size[member[short]], own[short], picked[short], t)
-    if len(pairs):
+    if len(pairs) and len(table.column("cells")[0].as_py()):
         cells = np.frombuffer(b"".join(table.column("cells").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), CELLS // 2)
         good = _near_enough(cells, node_size, pairs >> 32, pairs & 0xFFFFFFFF, t)
         pairs, times = pairs[good], times[good]
@@ -458,6 +492,8 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
     meetings = met.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftright("size", 2).alias("times"), F.col("size").bitwiseAND(3).alias("need")).unionByName(long_pairs)
     # Of H + c picks at most H can miss, so a pair meets c times at least.
     pairs = cut(meetings.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("a", "b"))
+    if buckets > CARRIED:
+        pairs = _thinned(nodes, pairs, size, threshold)
     members = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     texts = within(nodes.select("node", "text"), "node", members, 2 * pairs.count()).groupBy("node").agg(F.first("text").alias("text"))
     joined = (

@@ -127,6 +127,16 @@ def test_hot_signatures_lose_no_link(spark, monkeypatch):
     assert {r.document_id: r.links for r in got} == {i: sum(i in x for x in links) for i in sets}
 
 
+def test_many_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "BUCKET_SIGNATURES", 50)
+    monkeypatch.setattr(N, "CARRIED", 4)
+    rows = corpus(22) + EDGE
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.7]
+    got = N.near_duplicate_groups(spark.createDataFrame(rows, "document_id string, normalized_text string"), threshold=0.7).collect()
+    assert {r.document_id: r.links for r in got} == {i: sum(i in x for x in links) for i in sets}
+
+
 def test_empty_and_threshold(spark):
     empty = spark.createDataFrame([], "document_id string, normalized_text string")
     assert N.near_duplicate_groups(empty).count() == 0
