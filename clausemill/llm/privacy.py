@@ -7,22 +7,26 @@ that the list's family names are made of; a name that goes on as the name of a
 company, building or street is none.
 
 Replacing gives each entity either a typed placeholder, numbered by first mention,
-or a surrogate drawn by a keyed hash: of the same kind, format, script, letter case
-and (for given names) ending, the same for every mention of an entity in the whole
-corpus (coreference), different for different entities of a document (collisions
-are probed on), and never one of the originals.
+or a surrogate drawn by key: of the same kind, format, letter case and width and
+(for words of names) ending in -a or not, the same for every mention of an entity
+in the whole corpus (coreference), different for different entities of the corpus
+and never one of its originals.  Numbers are permuted, words composed of syllables;
+what meets all the same is found by a join over the distinct entities and drawn
+again.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from clausemill.session import cut
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Name tokens that are broadcast; the list is a small reference table, a larger one is refused.
@@ -251,18 +255,58 @@ def find(text: str, forms: NameForms) -> list[tuple[int, int, str]]:
     return taken
 
 
-_GIVEN_STOCK = {"a": "Alva Edda Freja Gilda Hilma Jonna Lotta Mirja Ronja Selma Tilda Vilma".split(), "": "Anton Birger Edvin Fredrik Gustav Henrik Ivar Joel Konrad Leif Morten Nils".split()}
-_FAMILY_STOCK = [a + b for a in "Alder Birk Ceder Hassel Kvist Linde Rosen Sand Sten Vester".split() for b in "berg blad gren lund mark strand".split()]
-_STREET_STOCK = "Alder Birchwood Clover Dogwood Elderberry Fernhill Gorse Hazel Ivybridge Juneberry".split()
-
-
-def _draw(key: bytes, kind: str, value: str, attempt: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{kind}\x00{value}\x00{attempt}".encode(), hashlib.sha256).digest()[:8], "big")
+_SYLLABLES = [a + v for a in "b d f g h j k l m n p r s t v z br dr st tr".split() for v in "aeiou"]
+_CODAS, _ENDS = ("", "l", "n", "r"), ("l", "n", "r", "s")
+_LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
+_TAIL = re.compile(rf"\s(?:{_SUFFIX})\b\.?$", re.I)
+_AT = re.compile(r"\s?(?:@|[\[(] ?at ?[\])])| at ", re.I)
+_EXT = re.compile(r",? ?(?:ext|x)", re.I)
+_NARROW = {v: k for k, v in _WIDE.items() if 0xFF01 <= k <= 0xFF5E}
+#: Attempts of a phone number that keep its area code; later ones draw it anew, should most of the area's numbers be taken.
+AREA_ATTEMPTS = 16
+
+
+def _draw(key: bytes, *what: object) -> int:
+    return int.from_bytes(hmac.digest(key, "\x00".join(map(str, what)).encode(), "sha256"), "big")
+
+
+def _permuted(key: bytes, tweak: str, text: str) -> str:
+    """A keyed permutation of the texts of one shape: digits stay digits, small letters stay small letters."""
+    radix = [10 if c.isdigit() else 26 for c in text]
+    value = [int(c) if c.isdigit() else ord(c) - 97 for c in text]
+    middle = len(text) // 2
+    halves, sizes = [0, 0], [1, 1]
+    for i, (v, r) in enumerate(zip(value, radix, strict=True)):
+        halves[i >= middle] = halves[i >= middle] * r + v
+        sizes[i >= middle] *= r
+    shape = "".join("9" if r == 10 else "a" for r in radix)
+    for turn in range(8):
+        side = turn % 2
+        halves[side] = (halves[side] + _draw(key, tweak, shape, turn, halves[1 - side])) % sizes[side]
+    out = []
+    for i in reversed(range(len(text))):
+        halves[i >= middle], v = divmod(halves[i >= middle], radix[i])
+        out.append(str(v) if radix[i] == 10 else chr(97 + v))
+    return "".join(reversed(out))
+
+
+def _word(key: bytes, sort: str, value: str, attempt: int, a: bool) -> str:
+    """A word of three syllables and one more for each attempt, so the words never run out; it ends in -a if asked to."""
+    out, n = [], 0
+    for i in range(last := 2 + attempt):
+        n = n if n >= 400 else _draw(key, sort, value, attempt, i)
+        n, k = divmod(n, 400)
+        out.append(_SYLLABLES[k // 4] + _CODAS[k % 4])
+    k = _draw(key, sort, value, attempt, last) % 400
+    out.append(_SYLLABLES[k // 4][:-1] + "a" if a else _SYLLABLES[k // 4] + _ENDS[k % 4])
+    return "".join(out)
 
 
 def canonical(kind: str, value: str) -> str:
     """What two mentions of one entity have in common."""
     value = value.translate(_WIDE).lower()
+    if kind in ("phone", "id_number") and not value.isascii():
+        value = "".join(str(int(c)) if c.isdecimal() else c for c in value)
     if kind == "phone":
         digits = re.sub(r"\D", "", re.split(r",? ?(?:ext|x)", value)[0])
         return digits[-10:]
@@ -277,78 +321,162 @@ def canonical(kind: str, value: str) -> str:
 
 
 def _like(pattern: str, word: str) -> str:
-    return word.upper() if pattern.isupper() and len(pattern) > 1 else word.lower() if pattern.islower() else word
+    """The word in the letter case and width of the pattern."""
+    plain = pattern.translate(_WIDE)
+    word = word.upper() if plain.isupper() else word.title() if plain.lower() != plain else word
+    return word.translate(_NARROW) if any(0xFF01 <= ord(c) <= 0xFF5E for c in pattern) else word
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """A replacement of the same kind and shape, drawn by key."""
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """(sort, unit) of what is replaced in a mention: the entity, or each word of a name, so that parts of names agree."""
     same = canonical(kind, value)
-    if kind in ("phone", "id_number"):
-        state = _draw(key, kind, same, attempt)
-        out = []
-        digits = [c for c in value if c.isdigit()]
-        keep = max(0, len(digits) - (7 if kind == "phone" else 99))
-        seen = 0
-        for c in value:
-            if c.isdigit():
-                if seen >= keep:
-                    state, digit = divmod(state, 10) if state > 9 else (_draw(key, kind, same + str(seen), attempt), state % 10)
-                    base = ord(c) - int(c)
-                    c = chr(base + digit)
-                seen += 1
-            elif c.isalpha() and kind == "id_number":
-                state, letter = divmod(state, 26)
-                c = chr((ord("A") if c.isupper() else ord("a")) + letter)
-            out.append(c)
-        return "".join(out)
+    if kind != "name":
+        return [(kind, same)]
+    return [("word", w) for w in re.findall(rf"[{_LO}]+", same) if len(w) > 1]
+
+
+@lru_cache
+def _initials(key: bytes, letters: str) -> dict[str, str]:
+    """One keyed cycle through all letters, so none stands for itself."""
+    order = sorted(letters, key=lambda c: _draw(key, "initial", c))
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+@lru_cache(1 << 16)
+def fresh_unit(key: bytes, sort: str, unit: str, attempt: int = 0) -> str:
+    """The surrogate of a unit, in canonical form.
+
+    Numbers are permuted, so one attempt never joins two of them; words may meet,
+    which ``attempts_over`` settles.
+    """
+    if sort == "phone":
+        head = unit[:-7] if attempt < AREA_ATTEMPTS else ""
+        return head + _permuted(key, f"phone {head} {attempt}", unit[len(head) :])
+    if sort == "id_number":
+        return _permuted(key, f"id_number {attempt}", unit)
+    if sort == "email":
+        local, domain = unit.rsplit("@", 1)
+        return f"{_word(key, 'mailbox', unit, attempt, True)}.{_word(key, sort, unit, attempt, False)}@{domain}"
+    if sort == "address":
+        tail, n = _TAIL.search(unit), _draw(key, "house", unit, attempt)
+        house = str(n % 8999 + 100) if unit[0].isdigit() else _NUMBER.lower().split("|")[n % 20]
+        return f"{house} {_word(key, sort, unit, attempt, False)}{tail[0] if tail else ' street'}"
+    return _word(key, sort, unit, attempt, unit.endswith("a"))
+
+
+def surrogate(key: bytes, kind: str, value: str, attempts: Mapping[tuple[str, str], int]) -> str:
+    """A replacement of the same kind and shape; attempts has the units that are not at their first one."""
+    plain = value.translate(_WIDE)
+    if kind == "name":
+
+        def part(m: re.Match[str]) -> str:
+            old = value[m.start() : m.end()]
+            if len(m[0]) > 1:
+                return _like(old, fresh_unit(key, "word", m[0].lower(), attempts.get(("word", m[0].lower()), 0)))
+            letters = next((x for x in _LETTERS if m[0] in x), "")
+            if not letters or plain[m.end() : m.end() + 1] != ".":
+                return old
+            return _like(old, _initials(key, letters)[m[0]].lower())
+
+        out, at = [], 0
+        for m in re.finditer(rf"[{_UP}{_LO}]+", plain):
+            out += [value[at : m.start()], part(m)]
+            at = m.end()
+        return "".join([*out, value[at:]])
+    [unit] = units(kind, value)
+    fresh = fresh_unit(key, *unit, attempts.get(unit, 0))
     if kind == "email":
-        local = re.split(r"\s?(?:[@\uff20]|[\[(] ?at ?[\])])| at ", value, flags=re.I)[0]
-        n = _draw(key, kind, same, attempt)
-        fresh = _like(local, f"{_GIVEN_STOCK['a'][n % 12].lower()}.{_FAMILY_STOCK[n // 12 % len(_FAMILY_STOCK)].lower()}{n // 720 % 1000}")
-        return fresh + value[len(local) :]
+        local = value[: _AT.search(plain).start()]
+        return _like(local, fresh.rsplit("@", 1)[0]) + value[len(local) :]
     if kind == "address":
-        n = _draw(key, kind, same, attempt)
-        street = re.search(rf"(?:\s(?:{_SUFFIX}|{_SUFFIX.upper()})\b\.?)$", value)
-        tail = street[0] if street else " Street"
-        fresh = f"{n % 8999 + 100} {_like('A' if not value.isupper() else 'AA', _STREET_STOCK[n // 9000 % 10])}"
-        return fresh + tail
-    words = re.split(r"([ ,\-]+)", value)
-    out = []
-    for i, word in enumerate(words):
-        if i % 2 or not word:
-            out.append(word)
-        elif word.endswith(".") and len(word) == 2:
-            out.append(chr(ord("A") + _draw(key, "initial", word.lower(), attempt) % 26) + ".")
-        else:
-            first = ("," in value) == (i > 0 and "," in "".join(words[:i])) and (len(words) > 1 and (i == 0 or "," in value))
-            stock = _GIVEN_STOCK["a" if word.lower().endswith("a") else ""] if first and len(words) > 1 else _FAMILY_STOCK
-            out.append(_like(word, stock[_draw(key, "token", word.lower(), attempt) % len(stock)]))
+        tail = _TAIL.search(plain)
+        house, street = fresh.split(" ")[:2]
+        head = value[: tail.start()] if tail else value
+        return _like(head, f"{house} {street}") + (value[tail.start() :] if tail else " Street")
+    # Characters of the unit, in order; an extension is drawn for itself.
+    marks = [i for i, c in enumerate(plain) if c.isdecimal() or (kind == "id_number" and c.isalpha())]
+    if kind == "phone":
+        ext = _EXT.search(plain)
+        more = [i for i in marks if ext and i >= ext.end()]
+        marks = [i for i in marks if i not in more][-len(unit[1]) :]
+        marks, fresh = marks + more, fresh + _permuted(key, f"extension {unit[1]}", "".join(str(int(plain[i])) for i in more))
+    out = list(value)
+    for i, c in zip(marks, fresh, strict=True):
+        out[i] = chr(ord(value[i]) - int(value[i]) + int(c)) if value[i].isdecimal() else _like(value[i], c)
     return "".join(out)
 
 
-def replace(text: str, spans: list[tuple[int, int, str]], key: bytes | None) -> str:
-    """Placeholders (no key) or surrogates; mentions of one entity are replaced alike."""
+def attempts_in(key: bytes, found: Iterable[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """``attempts_over`` for the units of one text."""
+    state = dict.fromkeys(sorted(set(found)), 0)
+    while True:
+        taken: set[tuple[str, str]] = set()
+        bad = []
+        for unit in sorted(state, key=lambda u: (state[u], u)):
+            fresh = (unit[0], fresh_unit(key, *unit, state[unit]))
+            if fresh in state or fresh in taken:
+                bad.append(unit)
+            taken.add(fresh)
+        if not bad:
+            return {u: n for u, n in state.items() if n}
+        for unit in bad:
+            state[unit] += 1
+
+
+def attempts_over(found: DataFrame, key: bytes) -> DataFrame:
+    """``sort, unit, attempt`` of the units not at their first attempt.
+
+    found: distinct ``sort, unit`` of the corpus.  No two units have one surrogate
+    and none is a unit of the corpus: whoever meets an original, or a unit that
+    settled before (else the lesser one), goes on to its next attempt, until none does.
+    """
+    shapes = found.filter("sort = 'id_number'").groupBy(F.regexp_replace(F.regexp_replace("unit", "[a-z]", "a"), "[0-9]", "9").alias("shape")).count()
+    space = F.pow(F.lit(10.0), F.length(F.regexp_replace("shape", "a", ""))) * F.pow(F.lit(26.0), F.length(F.regexp_replace("shape", "9", "")))
+    full = shapes.filter(F.col("count") * 4 > space).first()
+    if full is not None:
+        raise ValueError(f"{full['count']} distinct id numbers of the shape {full['shape']} leave too few others for surrogates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fresh_unit(key, *r) for r in rows], pa.string())], names=["sort", "unit", "attempt", "fresh"])
+
+    state = found.withColumn("attempt", F.lit(0))
+    first = W.partitionBy("sort", "fresh").orderBy("attempt", "unit")
+    while True:
+        drawn = state.mapInArrow(run, "sort string, unit string, attempt int, fresh string")
+        originals = found.select("sort", F.col("unit").alias("fresh"), F.lit(True).alias("original"))
+        state = cut(
+            drawn.withColumn("later", F.row_number().over(first) > 1)
+            .join(originals, ["sort", "fresh"], "left")
+            .withColumn("bad", F.col("later") | F.col("original").isNotNull())
+            .select("sort", "unit", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad")
+        )
+        if not state.filter("bad").limit(1).count():
+            return state.filter("attempt > 0").select("sort", "unit", "attempt")
+        state = state.drop("bad")
+
+
+def replace(text: str, spans: list[tuple[int, int, str]], key: bytes | None, attempts: Mapping[tuple[str, str], int] | None = None) -> str:
+    """Placeholders (no key) or surrogates; mentions of one entity are replaced alike.
+
+    attempts: those of the corpus; without them the text is a corpus of its own.
+    """
     given: dict[tuple[str, str], str] = {}
-    used: set[str] = {text[a:b] for a, b, _ in spans} if key else set()
     numbers: Counter[str] = Counter()
-    attempts: dict[tuple[str, str], int] = {}
+    if key is not None and attempts is None:
+        attempts = attempts_in(key, (u for a, b, kind in spans for u in units(kind, text[a:b])))
     out, at = [], 0
     for a, b, kind in spans:
         value = text[a:b]
-        same = (kind, canonical(kind, value))
         if key is None:
+            same = (kind, canonical(kind, value))
             if same not in given:
                 numbers[kind] += 1
                 given[same] = f"[{kind.upper()}_{numbers[kind]}]"
             fresh = given[same]
         else:
-            attempt = attempts.get(same, 0)
-            fresh = surrogate(key, kind, value, attempt)
-            while same not in attempts and fresh in used and attempt < 50:
-                attempt += 1
-                fresh = surrogate(key, kind, value, attempt)
-            attempts[same] = attempt
-            used.add(fresh)
+            fresh = surrogate(key, kind, value, attempts)
         out += [text[at:a], fresh]
         at = b
     return "".join([*out, text[at:]])
@@ -390,17 +518,56 @@ def redacted(documents: DataFrame, names: DataFrame, key: str | None = None, id_
     Without key typed placeholders, with key surrogates.  A null text stays null
     and has no codes; repeated rows are kept once.
     """
-    forms, secret = name_forms(names), key.encode() if key is not None else None
+    forms = name_forms(names)
+    rows = documents.select(F.col(id_column).cast("string").alias("document_id"), F.col(text_column).alias("text")).filter("document_id is not null")
+    if key is not None:
+        return _with_surrogates(rows, forms, key.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, codes = [], []
             for text in batch.column(1).to_pylist():
                 spans = find(text, forms) if text else []
-                texts.append(replace(text, spans, secret) if spans else text)
-                kinds = {k for _, _, k in spans}
-                codes.append([k for k in KINDS if k in kinds])
+                texts.append(replace(text, spans, None) if spans else text)
+                codes.append(_codes(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(codes, pa.list_(pa.string()))], names=["document_id", "text", "redaction_codes"])
 
-    rows = documents.select(F.col(id_column).cast("string").alias("document_id"), F.col(text_column).alias("text")).filter("document_id is not null")
     return rows.mapInArrow(run, "document_id string, text string, redaction_codes array<string>").distinct()
+
+
+def _codes(spans: list[tuple[int, int, str]]) -> list[str]:
+    kinds = {k for _, _, k in spans}
+    return [k for k in KINDS if k in kinds]
+
+
+def _with_surrogates(rows: DataFrame, forms: NameForms, key: bytes) -> DataFrame:
+    """Finds once, settles the surrogates of all distinct units, then replaces."""
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
+    unit = pa.struct([("sort", pa.string()), ("unit", pa.string())])
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, parts = [], []
+            for text in batch.column(1).to_pylist():
+                found = find(text, forms) if text else []
+                spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
+                parts.append([{"sort": s, "unit": u} for s, u in sorted({u for a, b, k in found for u in units(k, text[a:b])})])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(span)), pa.array(parts, pa.list_(unit))], names=["document_id", "text", "row", "spans", "units"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, codes = [], []
+            for text, spans, moved in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                found = [(s["start"], s["end"], s["kind"]) for s in spans]
+                texts.append(replace(text, found, key, {(m["sort"], m["unit"]): m["attempt"] for m in moved or ()}) if found else text)
+                codes.append(_codes(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(codes, pa.list_(pa.string()))], names=["document_id", "text", "redaction_codes"])
+
+    schema = "document_id string, text string, row long, spans array<struct<start:int,end:int,kind:string>>, units array<struct<sort:string,unit:string>>"
+    seen = cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(detect, schema))
+    parts = seen.select("row", F.explode("units").alias("u")).select("row", "u.sort", "u.unit")
+    moved = cut(attempts_over(cut(parts.select("sort", "unit").distinct()), key))
+    of_row = parts.join(moved, ["sort", "unit"]).groupBy("row").agg(F.collect_list(F.struct("sort", "unit", "attempt")).alias("moved"))
+    none = F.array().cast("array<struct<sort:string,unit:string,attempt:int>>")
+    ready = seen.join(of_row, "row", "left") if moved.limit(1).count() else seen.withColumn("moved", none)
+    return ready.select("document_id", "text", "spans", "moved").mapInArrow(run, "document_id string, text string, redaction_codes array<string>").distinct()

@@ -76,6 +76,33 @@ def test_privacy_frames(spark):
     assert P.entities(frame, names.limit(0)).count() == 2
 
 
+def test_surrogates_are_distinct_over_the_corpus(spark):
+    letters = "abcdefghijklmnop"
+    families = [f"Kel{a}{b}mont" for a in letters for b in letters]
+    names = spark.createDataFrame([("Thea", "given"), ("Ansel", "given")] + [(f, "family") for f in families], "token string, kind string")
+    rows = [(str(i), f"Attn: {'Thea' if i % 2 else 'ANSEL'} {f}, SSN 9-{i // 100:02}-{i % 100:02}, call 212-555-{i:04} or 212-555-{i:04} ext 7, mail m{i}@x.test, at {i + 1} Quarry Street") for i, f in enumerate(families)]
+    out = {r.document_id: r.text for r in P.redacted(spark.createDataFrame(rows, "document_id string, normalized_text string"), names, "key").collect()}
+    form = re.compile(r"Attn: (\S+) (\S+), SSN (\d-\d\d-\d\d), call (212-555|212-\d{3})-(\d{4}) or (\S+)-(\d{4}) ext \d, mail (\S+)@x.test, at (\d+ \w+) Street")
+    found = [form.fullmatch(out[i]).groups() for i, _ in rows]
+    assert len({f[1].lower() for f in found}) == len(families) and len({f[0].lower() for f in found}) == 2
+    assert all(f[0].endswith("a") == (i % 2 == 1) and f[0].isupper() == (i % 2 == 0) for i, f in enumerate(found))
+    assert all(f[3:5] == f[5:7] for f in found)
+    for place in ((2,), (3, 4), (7,), (8,)):
+        assert len({tuple(f[p] for p in place) for f in found}) == len(families)
+    olds = {w for _, text in rows for w in re.findall(r"[\w-]*\d[\w-]*|Kel\w+mont", text) if len(w) > 6}
+    assert not any(w in olds for text in out.values() for w in re.findall(r"[\w-]*\d[\w-]*|Kel\w+mont", text))
+
+
+def test_attempts_settle_all_clashes(spark):
+    units = [("phone", f"212555{i:04}") for i in range(3000)] + [("id_number", f"{i:05}") for i in range(20_000)] + [("word", f"kelmont{i}") for i in range(3000)]
+    moved = {(r.sort, r.unit): r.attempt for r in P.attempts_over(spark.createDataFrame(units, "sort string, unit string"), b"key").collect()}
+    fresh = {u: (u[0], P.fresh_unit(b"key", *u, moved.get(u, 0))) for u in units}
+    assert len(set(fresh.values())) == len(units) and not set(fresh.values()) & set(units) and moved
+    assert moved == P.attempts_in(b"key", units)
+    with pytest.raises(ValueError):
+        P.attempts_over(spark.createDataFrame([("id_number", f"{i:05}") for i in range(30_000)], "sort string, unit string"), b"key")
+
+
 def texts():
     random.seed(2)
     words = lambda n: " ".join(random.choice(["rent", "lease", "tenant", "day."]) for _ in range(n))
