@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.llm import cross_split, leaks, mixing, near_duplicates, packing, privacy, sentences, splits, splitting
-from clausemill.session import table, text_table
+from clausemill.session import cut, table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,16 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "dataset_record"), salt, percents)[0]
 
 
+def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the records first, then the others over the table of the first: where all of them are at last."""
+    salt, percents = splits.configured(table(spark, sf_dir, "dataset_config"))
+    records = table(spark, sf_dir, "dataset_record")
+    late = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 1
+    first = splits.assign_splits(records.filter(~late), salt, percents)[1]
+    both = splits.assign_splits(records.filter(late), salt, percents, cut(first))[1]
+    return both.filter("key like 'r:%'").select(F.expr("substring(key, 3)").alias("record_id"), "component", "split")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.items(text_table(spark, sf_dir, "documents"), 4096), 4096)
 
@@ -99,7 +109,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
     return {f.__name__: f for f in found}
 
 

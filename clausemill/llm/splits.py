@@ -2,10 +2,12 @@
 
 Keys (a family value, a document id) are the nodes; a record ties its keys.
 Components come from star contraction (pointer jumping), old components join as
-edges from each key to its old root, so merges need no look at old records.
+edges from each key to its old root, so merges need no look at old records.  The
+table also has a row of each record (``r:`` and its id), so the sizes of components
+are those over all batches, and a record that comes again counts once and ties.
 Components that exist keep their split; new ones fill what is missing of the wanted
-shares, the large ones first and the others by salted hash; a merge of components
-with different splits is quarantined.
+shares of all records so far, the large ones first and the others by salted hash; a
+merge of components with different splits is quarantined.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def family_pairs(records: DataFrame) -> DataFrame:
 def assign_splits(records: DataFrame, salt: str, percents: dict[str, int], previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(``record_id, component, split``, the new table ``key, component, split``).
 
-    previous: the table of an earlier call.  split is 'quarantine' for all records
+    previous: the table of an earlier call, whose records count in the shares;
+    records may be the new ones alone.  split is 'quarantine' for all records
     of a component in which keys of different splits meet.  A record delivered twice
     counts once (its keys together tie); null ids are left out; no records give no rows.
     """
@@ -71,10 +74,17 @@ def assign_splits(records: DataFrame, salt: str, percents: dict[str, int], previ
         raise ValueError("the percentages of train, validation and test must add up to 100")
     keyed = record_keys(records.filter("record_id is not null"))
     # Rows of one record tie their keys too.
-    keyed = cut(keyed.groupBy("record_id").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")))
+    keyed = keyed.groupBy("record_id").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    record = F.concat(F.lit("r:"), F.col("record_id"))
+    if previous is not None:
+        # Records of earlier batches that come again.
+        again = previous.filter("key like 'r:%'").select(F.col("key").alias("_again"))
+        keyed = keyed.join(again, record == F.col("_again"), "left").select("record_id", F.when(F.col("_again").isNull(), F.col("keys")).otherwise(F.array_union("keys", F.array("_again"))).alias("keys"))
+    keyed = cut(keyed)
     table = cut(key_components(keyed, previous))
     own = keyed.select("record_id", F.element_at("keys", 1).alias("key")).join(table, "key").select("record_id", "component")
-    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    table = cut(table.unionByName(own.select(record.alias("key"), "component")).distinct())
+    sizes = table.filter("key like 'r:%'").groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     if previous is not None:
         old = previous.join(table.withColumnRenamed("component", "now"), "key").groupBy("now").agg(F.collect_set("split").alias("old")).withColumnRenamed("now", "component")
         sizes = table.select("component").distinct().join(sizes, "component", "left").join(old, "component", "left")

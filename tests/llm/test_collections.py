@@ -78,6 +78,21 @@ def test_components_keep_their_split_and_conflicts_are_quarantined(spark):
     assert {r.key: r.split for r in after.collect()}[f"f:f{train}"] == "quarantine"
 
 
+def test_later_batches_make_up_for_earlier_ones(spark):
+    percents = {"train": 70, "validation": 15, "test": 15}
+    first = spark.createDataFrame([(f"a{i}", "one", [], "") for i in range(80)], RECORD)
+    assigned, table = X.assign_splits(first, "s", percents)
+    assert {r.split for r in assigned.collect()} == {"train"}
+    later, table = X.assign_splits(spark.createDataFrame([(f"b{i}", f"f{i}", [], "") for i in range(100)], RECORD), "s", percents, table)
+    found = {r.record_id: r.split for r in later.collect()}
+    assert collections.Counter(found.values()) == {"train": 46, "validation": 27, "test": 27}
+    # Records that come again count once and tie what they bring.
+    again, table = X.assign_splits(spark.createDataFrame([(f"b{i}", "new", [], "") if i == 3 else (f"b{i}", f"f{i}", [], "") for i in range(100)] + [("c", "new", None, "")], RECORD), "s", percents, table)
+    now = {r.record_id: r.split for r in again.collect()}
+    assert now.pop("c") == found["b3"] and now == found
+    assert table.filter("key like 'r:%'").count() == 181
+
+
 def test_splits_of_nothing_and_bad_percents(spark):
     empty = spark.createDataFrame([], RECORD)
     assert X.assign_splits(empty, "s", {"train": 70, "validation": 15, "test": 15})[0].count() == 0
