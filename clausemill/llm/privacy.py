@@ -184,7 +184,9 @@ def find(text: str, forms: NameForms) -> list[tuple[int, int, str]]:
     def free(start: int, end: int) -> bool:
         return all(end <= a or start >= b for a, b, _ in taken)
 
-    if "@" in plain or "at)" in plain or "at]" in plain or " dot " in plain or " DOT " in plain:
+    # Whatever _MARK takes holds one of these.
+    small = plain.lower()
+    if any(x in small for x in ("@", "at)", "at ]", "at )", "at]", " dot ")):
         for m in _MARK.finditer(plain):
             domain = _DOMAIN.match(plain, m.end())
             low = max(0, m.start() - 80)

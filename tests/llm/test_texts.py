@@ -49,6 +49,11 @@ def test_entities(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("mail", ["JDOE (AT) FIRM (DOT) COM", "jdoe [At] firm [Dot] com", "jdoe ( at ) firm ( dot ) com", "JDoe At Firm Dot Com"])
+def test_spelt_out_mail_in_any_case(mail):
+    assert kinds(f"write to {mail}, now") == [(mail, "email")]
+
+
 def test_replacement_is_typed_consistent_and_distinct():
     text = "Attn: Thea Kelmont. Later Kelmont, Thea signed as guarantor; Ansel Fenwick signed as guarantor. Mail T@X.EXAMPLE.ORG, SSN ９５１－２６－１３２８."
     spans = P.find(text, FORMS)
