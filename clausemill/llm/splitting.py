@@ -97,13 +97,15 @@ def _check(limit: int, overlap: int) -> None:
         raise ValueError("the limit must exceed twice the overlap")
 
 
-def split_long(frame: DataFrame, keys: list[str], text_column: str, limit: int, overlap: int = 120) -> DataFrame:
+def split_long(frame: DataFrame, keys: list[str], text_column: str, limit: int, overlap: int = 120, range_size: int = RANGE) -> DataFrame:
     """keys, ``piece`` (from 0), ``start_char``, ``end_char``, ``piece_text`` of texts above ``limit`` code points.
 
     Texts within the limit, null and empty texts give no rows; repeated rows are
-    kept once; keys may be null; other columns are ignored.
+    kept once; keys may be null; other columns are ignored.  Texts of several ranges
+    are cut range by range on many workers, the others at once.
     """
     _check(limit, overlap)
+    range_size = max(range_size, 4 * limit)
     names = [f"_k{i}" for i in range(len(keys))]
     chosen = frame.filter(F.char_length(text_column) > limit).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(text_column).alias("_text")).distinct()
     types = dict(chosen.dtypes)
@@ -125,7 +127,33 @@ def split_long(frame: DataFrame, keys: list[str], text_column: str, limit: int,
             )
 
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", piece int, start_char int, end_char int, piece_text string"
-    return chosen.mapInArrow(run, schema).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "piece", "start_char", "end_char", "piece_text")
+    size = F.char_length("_text")
+    found = chosen.filter(size <= range_size).mapInArrow(run, schema).unionByName(_in_ranges(chosen.filter(size > range_size), names, types, limit, overlap, range_size))
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "piece", "start_char", "end_char", "piece_text")
+
+
+def _in_ranges(giants: DataFrame, names: list[str], types: dict[str, str], limit: int, overlap: int, range_size: int) -> DataFrame:
+    """The pieces of ``split_text``, each range with its halos by itself."""
+    halo = 2 * limit
+    named = giants.withColumns({"_id": F.sha2(F.to_json(F.struct(*names, "_text")), 256), "_size": F.char_length("_text")})
+    at = named.withColumn("_low", F.explode(F.sequence(F.lit(0), F.col("_size") - 1, F.lit(range_size)))).withColumn("_base", F.greatest(F.col("_low") - halo, F.lit(0)))
+    windows = at.select(*names, "_id", "_size", "_low", "_base", F.substring(F.col("_text"), F.col("_base") + 1, F.lit(range_size + 2 * halo)).alias("_window")).repartition("_id", "_low")
+    piece = pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("piece_text", pa.string())])
+
+    def detect(batches):
+        for batch in batches:
+            out = []
+            for size, low, base, text in zip(*(batch.column(len(names) + i).to_pylist() for i in range(1, 5)), strict=True):
+                a = anchor(text, low - base, limit)
+                b = size - base if low + range_size >= size else anchor(text, low + range_size - base, limit)
+                out.append([{"start_char": base + s, "end_char": base + e, "piece_text": text[s:e]} for s, e in (pieces(text, limit, overlap, a, b) if a < b else ())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 1], batch.column(len(names) + 2), pa.array(out, pa.list_(piece))], names=[*names, "_id", "_low", "_pieces"])
+
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", _id string, _low int, _pieces array<struct<start_char:int,end_char:int,piece_text:string>>"
+    found = cut(windows.mapInArrow(detect, schema))
+    before = W.partitionBy("_id").orderBy("_low").rowsBetween(W.unboundedPreceding, -1)
+    table = found.select("_id", "_low", F.size("_pieces").alias("_n")).select("_id", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_number"))
+    return found.join(table, ["_id", "_low"]).select(*names, "_number", F.posexplode("_pieces").alias("_i", "_p")).select(*names, (F.col("_number") + F.col("_i")).cast("int").alias("piece"), "_p.start_char", "_p.end_char", "_p.piece_text")
 
 
 def _read_range(path: str, low: int, high: int) -> tuple[str, int]:

@@ -140,6 +140,14 @@ def test_split_frames(spark):
         X.split_long(frame, ["document_id"], "text", 100, 60)
 
 
+def test_giant_columns_are_split_by_ranges(spark):
+    whole = [t for t in texts() for t in (t * 3, t + "\n" + t)]
+    want = sorted((str(i % 3 or None), n, a, b, t[a:b]) for i, t in enumerate(whole) for n, (a, b) in enumerate(X.split_text(t, 1200, 120, 4800)))
+    frame = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(whole)], "k int, text string")
+    found = X.split_long(frame, ["k"], "text", 1200, range_size=4800)
+    assert sorted((str(r.k), r.piece, r.start_char, r.end_char, r.piece_text) for r in found.collect()) == want
+
+
 def test_split_files_by_ranges(spark, tmp_path):
     text = "\n".join(f"Zeile {i}: Müller zahlt 行 {'wort ' * (i % 30)}" for i in range(4000))
     (tmp_path / "big.txt").write_text(text, encoding="utf-8")
