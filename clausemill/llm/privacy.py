@@ -396,7 +396,7 @@ def surrogate(key: bytes, kind: str, value: str, attempts: Mapping[tuple[str, st
         head = value[: tail.start()] if tail else value
         return _like(head, f"{house} {street}") + (value[tail.start() :] if tail else " Street")
     # Characters of the unit, in order; an extension is drawn for itself.
-    marks = [i for i, c in enumerate(plain) if c.isdecimal() or (kind == "id_number" and c.isalpha())]
+    marks = [i for i, c in enumerate(plain) if c.isdecimal() or (kind == "id_number" and "a" <= c.lower() <= "z")]
     if kind == "phone":
         ext = _EXT.search(plain)
         more = [i for i in marks if ext and i >= ext.end()]

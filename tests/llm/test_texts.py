@@ -98,6 +98,13 @@ def test_surrogates_are_distinct_over_the_corpus(spark):
     assert not any(w in olds for text in out.values() for w in re.findall(r"[\w-]*\d[\w-]*|Kel\w+mont", text))
 
 
+@pytest.mark.parametrize("text", ["passport \u017f1234567 shown", "passport \u212a1234567 shown", "SSN ٩٥١-٢٦-١٣٢٨ shown"])
+def test_surrogates_of_unusual_signs(text):
+    spans = P.find(text, FORMS)
+    fresh = P.replace(text, spans, b"key")
+    assert spans and fresh != text and len(fresh) == len(text)
+
+
 def test_attempts_settle_all_clashes(spark):
     units = [("phone", f"212555{i:04}") for i in range(3000)] + [("id_number", f"{i:05}") for i in range(20_000)] + [("word", f"kelmont{i}") for i in range(3000)]
     moved = {(r.sort, r.unit): r.attempt for r in P.attempts_over(spark.createDataFrame(units, "sort string, unit string"), b"key").collect()}
