@@ -30,6 +30,11 @@ def p2_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p2_unsearched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that the search cannot report, and why."""
+    return leaks.unsearched(table(spark, sf_dir, "eval_item"), table(spark, sf_dir, "dataset_config"))
+
+
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.entities(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
 
@@ -109,7 +114,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p2_unsearched, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
     return {f.__name__: f for f in found}
 
 

@@ -187,12 +187,36 @@ def test_leaks_match_brute_force(spark):
     assert {(r.document_id, r.item_id) for r in found.collect()} == want and len(want) > 20
 
 
-def test_leaks_in_passes_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(L, "PASS_WORDS", 10)
-    items = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(15))) for i in range(4)], "item_id long, text string")
+def test_leaks_empty_and_unsearched(spark):
+    items = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(15)), "held") for i in range(4)] + [(8, "too short", "held"), (9, None, "held"), (10, "open", "other")], "item_id long, text string, document_id string")
     docs = spark.createDataFrame([("a", " ".join(f"q2x{j}" for j in range(15)))], "document_id string, normalized_text string")
     assert [tuple(r) for r in L.leaks(docs, items).collect()] == [("a", 2)]
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
+    config = spark.createDataFrame([((["held"],),)], "exclusion struct<blocked_from_training_document_ids: array<string>>")
+    assert {tuple(r) for r in L.unsearched(items, config).collect()} == {(8, "short"), (9, "short"), (10, "not_blocked")}
+
+
+def test_shift_never_passes_over_a_pattern(monkeypatch):
+    """Every window of an item that a text holds is stopped at, in any lane and with slots that clash."""
+    random.seed(8)
+    monkeypatch.setattr(L, "LANE", 7)
+    run, bits = 12, 6
+    item = [f"i{i}" for i in range(40)]
+    text = []
+    for _ in range(30):
+        text += [f"t{random.randrange(500)}" for _ in range(random.randrange(30))]
+        at = random.randrange(28)
+        text += item[at : at + random.randrange(1, 29)]
+    hashes = lambda w: K.word_hashes(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))]), K.ALNUM_WORDS)
+    known, bounds = hashes(item)
+    places = np.arange(len(item) - L.BLOCK + 1)
+    shifts = np.full(1 << bits, run - L.BLOCK + 1, np.uint8)
+    np.minimum.at(shifts, (L.blocks_at(known, places) >> np.uint64(64 - bits)).astype(int), np.maximum(0, run - places - L.BLOCK).astype(np.uint8))
+    words, bounds = hashes(text)
+    stops = set(L.search(words, bounds, shifts, bits, run)[1].tolist())
+    patterns = {tuple(item[i : i + run]) for i in range(len(item) - run + 1)}
+    want = {i for i in range(len(text) - run + 1) if tuple(text[i : i + run]) in patterns}
+    assert want and want <= stops and len(stops) < len(text) - run
 
 
 SIDES = {"train": "t", " Training": "t", "VAL": "h", "dev ": "h", "test": "h", "testing": "h", None: None, "other": None}
