@@ -74,23 +74,31 @@ def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_long(text_table(spark, sf_dir, "processed_document"), ["document_id"], "normalized_text", 4000)
 
 
+def _split_settings(spark: SparkSession, sf_dir: str):
+    return splits.configured(table(spark, sf_dir, "dataset_config"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.family_pairs(table(spark, sf_dir, "dataset_record"))
+    """Ties of the persisted table after the records came in two batches."""
+    records = table(spark, sf_dir, "dataset_record")
+    return splits.family_pairs(records, splits.in_batches(records, *_split_settings(spark, sf_dir)))
+
+
+def p6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every record, in one batch."""
+    return splits.assign_splits(table(spark, sf_dir, "dataset_record"), *_split_settings(spark, sf_dir)).select("record_id", "component")
 
 
 def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    salt, percents = splits.configured(table(spark, sf_dir, "dataset_config"))
-    return splits.assign_splits(table(spark, sf_dir, "dataset_record"), salt, percents)[0]
+    """Records, components and records of each split by share, in one batch."""
+    return splits.assign_splits(table(spark, sf_dir, "dataset_record"), *_split_settings(spark, sf_dir)).select("record_id", "component", "split")
 
 
 def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the records first, then the others over the table of the first: where all of them are at last."""
-    salt, percents = splits.configured(table(spark, sf_dir, "dataset_config"))
-    records = table(spark, sf_dir, "dataset_record")
-    late = F.pmod(F.xxhash64("record_id"), F.lit(2)) == 1
-    first = splits.assign_splits(records.filter(~late), salt, percents)[1]
-    both = splits.assign_splits(records.filter(late), salt, percents, cut(first))[1]
-    return both.filter("key like 'r:%'").select(F.expr("substring(key, 3)").alias("record_id"), "component", "split")
+    """Where all records are after the second of two batches, and how their component came there."""
+    found = splits.in_batches(table(spark, sf_dir, "dataset_record"), *_split_settings(spark, sf_dir)).records()
+    how = F.when(F.col("split") == splits.QUARANTINE, "quarantined").when(F.col("since") == 1, "kept").otherwise("filled")
+    return found.select("record_id", "component", "split", how.alias("how"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +122,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p2_unsearched, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p2_unsearched, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_components, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
     return {f.__name__: f for f in found}
 
 
@@ -144,6 +152,10 @@ def oracle_sql() -> dict[str, str]:
  crossed AS (SELECT a[1] AS x, b[1] AS y FROM pairs WHERE (a[2] = 'train') <> (b[2] = 'train') AND a[1] <> b[1])
  SELECT DISTINCT least(x, y) AS record_a, greatest(x, y) AS record_b FROM crossed""",
         "p5_found": "SELECT DISTINCT document_id, block_id FROM text_block WHERE length(text) > 1200",
+        "p6_components": f"""WITH RECURSIVE r AS (SELECT record_id, CASE WHEN f <> '' THEN ['f:' || f] ELSE [] END || list_transform(list_filter(coalesce(document_ids, []), lambda x: x IS NOT NULL), lambda x: 'd:' || x) AS k FROM (SELECT record_id, {_FAMILY} AS f, document_ids FROM dataset_record WHERE record_id IS NOT NULL)),
+ keys AS (SELECT DISTINCT record_id, unnest(CASE WHEN len(k) = 0 THEN ['r:' || record_id] ELSE k END) AS k FROM r), ties AS (SELECT DISTINCT a.k AS x, b.k AS y FROM keys a JOIN keys b USING (record_id) WHERE a.k <> b.k),
+ reach(x, y) AS (SELECT DISTINCT k, k FROM keys UNION SELECT q.x, t.y FROM reach q JOIN ties t ON q.y = t.x), least AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+ SELECT DISTINCT record_id, component FROM keys JOIN least ON k = x""",
         "p6_found": f"""WITH RECURSIVE r AS (SELECT row_number() OVER () AS n, family_id, {_FAMILY} AS f, document_ids FROM dataset_record),
  keys AS (SELECT n, 'f:' || f AS k FROM r WHERE f <> '' UNION SELECT n, 'd:' || d FROM (SELECT n, unnest(document_ids) AS d FROM r)),
  ties AS (SELECT DISTINCT a.k AS x, b.k AS y FROM keys a JOIN keys b USING (n) WHERE a.k LIKE 'f:%' OR b.k LIKE 'f:%' OR a.k <> b.k), families AS (SELECT DISTINCT family_id, 'f:' || f AS k FROM r WHERE f <> ''),

@@ -42,7 +42,7 @@ def test_tied_records_share_a_split(spark):
     rows = fixture()
     frame = spark.createDataFrame(rows, RECORD)
     root = tied(rows)
-    got = {r.record_id: (r.component, r.split) for r in X.assign_splits(frame, "salt", {"train": 70, "validation": 15, "test": 15})[0].collect()}
+    got = {r.record_id: (r.component, r.split) for r in X.assign_splits(frame, "salt", {"train": 70, "validation": 15, "test": 15}).collect()}
     assert set(got) == set(root)
     of = collections.defaultdict(set)
     for i, r in root.items():
@@ -60,42 +60,62 @@ def test_family_pairs_match_brute_force(spark):
         if family and family.strip():
             groups[root[i]].add(family)
     want = {(a, b) for g in groups.values() for a in g for b in g if a < b}
-    assert {(r.family_a, r.family_b) for r in X.family_pairs(spark.createDataFrame(rows, RECORD)).collect()} == want
-    assert X.family_pairs(spark.createDataFrame([], RECORD)).count() == 0
+    percents = {"train": 70, "validation": 15, "test": 15}
+    frame, none = spark.createDataFrame(rows, RECORD), spark.createDataFrame([], RECORD)
+    for batches in (1, 3):
+        found = X.family_pairs(frame, X.in_batches(frame, "s", percents, batches))
+        assert {(r.family_a, r.family_b) for r in found.collect()} == want
+    assert X.family_pairs(none, X.in_batches(none, "s", percents)).count() == 0
 
 
 def test_components_keep_their_split_and_conflicts_are_quarantined(spark):
     percents = {"train": 50, "validation": 0, "test": 50}
     first = spark.createDataFrame([(f"r{i}", f"f{i}", [f"d{i}"], "") for i in range(8)], RECORD)
-    assigned, table = X.assign_splits(first, "s", percents)
-    old = {r.record_id: r.split for r in assigned.collect()}
+    path = X.fresh_folder(spark)
+    old = {r.record_id: r.split for r in X.assign_splits(first, "s", percents, path).collect()}
     train = next(i for i in old if old[i] == "train")[1:]
     test = next(i for i in old if old[i] == "test")[1:]
-    more = spark.createDataFrame([("new", f"f{train}", [f"d{test}"], ""), ("kept", f"f{test}" if False else None, ["fresh"], ""), ("same", next(f"f{i[1:]}" for i in old if i[1:] not in (train, test)), [], "")], RECORD)
-    again, after = X.assign_splits(more, "s", percents, table)
-    found = {r.record_id: r.split for r in again.collect()}
-    assert found["new"] == "quarantine" and found["same"] in ("train", "test") and found["kept"] in ("train", "test")
-    assert {r.key: r.split for r in after.collect()}[f"f:f{train}"] == "quarantine"
+    same = next(i for i in old if i[1:] not in (train, test))
+    more = spark.createDataFrame([("new", f"f{train}", [f"d{test}"], ""), ("fresh", None, ["fresh"], ""), ("same", f"f{same[1:]}", [], "")], RECORD)
+    table = X.update(more, "s", percents, path)
+    found = {r.record_id: r.split for r in table.records().collect()}
+    assert found["new"] == found[f"r{train}"] == found[f"r{test}"] == "quarantine" and found["same"] == old[same] and found["fresh"] in ("train", "test")
+    assert all(found[i] == old[i] for i in old if i[1:] not in (train, test))
+    assert table.version == 2 and X.load(spark, path).version == 2
+    # Nothing new changes nothing; an unfinished version is none.
+    after = X.update(more.limit(0), "s", percents, path)
+    assert {r.record_id: r.split for r in after.records().collect()} == found
+    table.keys.write.parquet(f"{path}/v000009/keys")
+    assert X.load(spark, path).version == 3
 
 
 def test_later_batches_make_up_for_earlier_ones(spark):
     percents = {"train": 70, "validation": 15, "test": 15}
+    path = X.fresh_folder(spark)
     first = spark.createDataFrame([(f"a{i}", "one", [], "") for i in range(80)], RECORD)
-    assigned, table = X.assign_splits(first, "s", percents)
-    assert {r.split for r in assigned.collect()} == {"train"}
-    later, table = X.assign_splits(spark.createDataFrame([(f"b{i}", f"f{i}", [], "") for i in range(100)], RECORD), "s", percents, table)
+    assert {r.split for r in X.assign_splits(first, "s", percents, path).collect()} == {"train"}
+    later = X.assign_splits(spark.createDataFrame([(f"b{i}", f"f{i}", [], "") for i in range(100)], RECORD), "s", percents, path)
     found = {r.record_id: r.split for r in later.collect()}
-    assert collections.Counter(found.values()) == {"train": 46, "validation": 27, "test": 27}
+    assert collections.Counter(found.values()) == {"train": 126, "validation": 27, "test": 27}
     # Records that come again count once and tie what they bring.
-    again, table = X.assign_splits(spark.createDataFrame([(f"b{i}", "new", [], "") if i == 3 else (f"b{i}", f"f{i}", [], "") for i in range(100)] + [("c", "new", None, "")], RECORD), "s", percents, table)
-    now = {r.record_id: r.split for r in again.collect()}
+    table = X.update(spark.createDataFrame([(f"b{i}", "new", [], "") if i == 3 else (f"b{i}", f"f{i}", [], "") for i in range(100)] + [("c", "new", None, "")], RECORD), "s", percents, path)
+    now = {r.record_id: r.split for r in table.records().collect()}
     assert now.pop("c") == found["b3"] and now == found
-    assert table.filter("key like 'r:%'").count() == 181
+    assert table.keys.filter("key like 'r:%'").count() == 181 and table.components.agg({"size": "sum"}).first()[0] == 181
+
+
+def test_quotas_fill_the_largest_deficits_first():
+    for size, count, missing in [(1, 100, {"train": 70.0, "validation": 15.0, "test": 15.0}), (7, 9, {"train": 40.0, "validation": -5.0, "test": 30.0}), (50, 1, {"train": 3.0, "test": 4.0})]:
+        given = X.quotas(size, count, missing)
+        assert sum(given.values()) == count and min(given.values()) >= 0
+        left = {s: missing[s] - size * given[s] for s in missing}
+        # No component could lower the largest excess by moving.
+        assert all(left[s] + size >= left[t] - 1e-9 for s in given if given[s] for t in given)
 
 
 def test_splits_of_nothing_and_bad_percents(spark):
     empty = spark.createDataFrame([], RECORD)
-    assert X.assign_splits(empty, "s", {"train": 70, "validation": 15, "test": 15})[0].count() == 0
+    assert X.assign_splits(empty, "s", {"train": 70, "validation": 15, "test": 15}).count() == 0
     with pytest.raises(ValueError):
         X.assign_splits(empty, "s", {"train": 70})
 
