@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.llm import cross_split, leaks, mixing, near_duplicates, packing, privacy, sentences, splits, splitting
-from clausemill.session import cut, table, text_table
+from clausemill.session import shared_dir, table, text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +68,16 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_blocks(spark, sf_dir).select("document_id", "block_id").distinct()
+    """Blocks that came out in more than one piece."""
+    return p5_blocks(spark, sf_dir).filter("piece > 0").select("document_id", "block_id").distinct()
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All normalized texts as a few large files, cut by byte ranges: pieces, characters and the longest piece of each file."""
+    texts = text_table(spark, sf_dir, "processed_document").select("normalized_text")
+    paths = splitting.export_texts(texts, "normalized_text", f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}")
+    pieces = splitting.split_files(spark, paths, 4000)
+    return pieces.groupBy(F.element_at(F.split("path", "/"), -1).substr(1, 10).alias("file")).agg(F.count(F.lit(1)).alias("pieces"), F.max("end_char").alias("chars"), F.max(F.length("piece_text")).alias("longest"))
 
 
 def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +132,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_groups, p2_found, p2_by_item, p2_unsearched, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p6_found, p6_components, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
+    found = [p1_found, p1_groups, p2_found, p2_by_item, p2_unsearched, p3_found, p3_entities, p3_redacted, p3_surrogates, p4_found, p4_overlap, p5_found, p5_blocks, p5_documents, p5_files, p6_found, p6_components, p6_splits, p6_batches, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found]
     return {f.__name__: f for f in found}
 
 

@@ -160,11 +160,43 @@ def test_split_files_by_ranges(spark, tmp_path):
     (tmp_path / "big.txt").write_text(text, encoding="utf-8")
     (tmp_path / "empty.txt").write_text("")
     found = X.split_files(spark, [str(tmp_path / "big.txt"), str(tmp_path / "empty.txt")], 1200, 120, range_bytes=30_000).orderBy("piece").collect()
-    assert [r.piece for r in found] == list(range(len(found)))
+    assert [(r.piece, r.start_char, r.end_char) for r in found] == [(n, a, b) for n, (a, b) in enumerate(X.split_text(text, 1200, 120, 30_000))]
+    column = X.split_long(spark.createDataFrame([("x", text)], "k string, t string"), ["k"], "t", 1200, range_size=30_000).orderBy("piece").collect()
+    assert [(r.piece, r.start_char, r.end_char, r.piece_text) for r in column] == [(r.piece, r.start_char, r.end_char, r.piece_text) for r in found]
     assert found[0].start_char == 0 and found[-1].end_char == len(text)
     assert all(text[r.start_char : r.end_char] == r.piece_text and len(r.piece_text) <= 1200 for r in found)
     assert all(a.start_char < b.start_char <= a.end_char < b.end_char for a, b in zip(found, found[1:], strict=False))
     assert X.split_files(spark, [str(tmp_path / "empty.txt")], 1200).count() == 0
+    assert X.split_files(spark, ["file://" + str(tmp_path / "big.txt")] * 2, 1200).filter("piece = 0").count() == 1
+    with pytest.raises(FileNotFoundError):
+        X.split_files(spark, [str(tmp_path / "none.txt")], 1200)
+
+
+def test_ranges_see_only_their_window(spark):
+    """A range cut from its window alone gives what it gives in the whole text."""
+    for text in texts():
+        data, halo = text.encode(), X.halo_bytes(1200)
+        for low in range(0, len(data), 2500):
+            high = min(len(data), low + 2500)
+            base = max(0, low - halo)
+            part = X.range_pieces(data[base : high + halo], base, low, high, len(data), 1200, 120)
+            whole = X.range_pieces(data, 0, low, high, len(data), 1200, 120)
+            assert part == whole
+
+
+def test_stretches_add_up(spark, monkeypatch):
+    monkeypatch.setattr(X, "STRETCH", 3)
+    text = "\n".join(f"line {i} {'word ' * (i % 9)}" for i in range(900))
+    found = X.split_long(spark.createDataFrame([(1, text), (2, text[::-1])], "k int, t string"), ["k"], "t", 300, 40, range_size=1500).collect()
+    for k, t in ((1, text), (2, text[::-1])):
+        assert sorted((r.piece, r.start_char, r.end_char) for r in found if r.k == k) == [(n, a, b) for n, (a, b) in enumerate(X.split_text(t, 300, 40, 1500))]
+
+
+def test_exported_texts_are_cut_by_byte_ranges(spark, tmp_path):
+    rows = [("a b\nc",), (None,), ("",), ("é" * 40,)]
+    paths = X.export_texts(spark.createDataFrame(rows, "t string").coalesce(1), "t", str(tmp_path / "out"))
+    found = X.split_files(spark, paths, 30, 5, range_bytes=16).orderBy("piece").collect()
+    assert found[-1].end_char == len("a b\nc\n\n" + "é" * 40 + "\n\n")
 
 
 TRAINING = [
