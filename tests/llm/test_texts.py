@@ -205,7 +205,16 @@ TRAINING = [
     "租金每年上涨。押金退还。\n\n押金在交还后退还。承租人付款。",
     "किराया बढ़ेगा। जमा राशि लौटेगी।\n\nकिराया देगा। जमा राशि है।",
 ] * 30
-MODEL = S.Model(TRAINING)
+
+
+def model(texts):
+    left, right = {}, {}
+    for t in texts:
+        S.token_counts(t, left, right)
+    return S.Model(left, right).fit(texts)
+
+
+MODEL = model(TRAINING)
 
 
 @pytest.mark.parametrize(
@@ -264,3 +273,12 @@ def test_sentence_frames(spark):
     counts = {i: sum(r.doc_id == i for r in found) for i in (1, 2, 3, 4, 5)}
     assert counts == {1: 6, 2: 0, 3: 0, 4: 5000, 5: 1}
     assert S.sentence_units(frame.limit(0), model=MODEL).count() == 0
+
+
+def test_sentences_are_the_models_choice():
+    """Without fitting no mark ends anything; what is fitted on decides about an unknown abbreviation."""
+    text = "Rent covers approximat. Fenley and the roof. Tenant waives."
+    empty = S.Model({}, {})
+    assert len(S.units(text, empty)) == 1
+    more = TRAINING + ["The owner pays approximat. half of the rent, approximat. two days late. Tenant waives."] * 40
+    assert [len(S.units(text, m)) for m in (MODEL, model(more))] == [3, 2]
