@@ -2,23 +2,28 @@
 
 Finding works on a copy of the text in which wide and typographic forms of digits,
 signs and blanks stand as ASCII, character for character, so offsets hold.  Names
-are told by cues, titles and the list of known tokens, extended by the word forms
-that the list's family names are made of; a name that goes on as the name of a
-company, building or street is none.
-
-Replacing gives each entity either a typed placeholder, numbered by first mention,
-or a surrogate drawn by key: of the same kind, format, letter case and width and
-(for words of names) ending in -a or not, the same for every mention of an entity
-in the whole corpus (coreference), different for different entities of the corpus
-and never one of its originals.  Numbers are permuted, words composed of syllables;
-what meets all the same is found by a join over the distinct entities and drawn
-again.
+are told by cues, titles, common given names and the list of known tokens, extended
+by the word forms that the list's family names are made of; a name that goes on as the
+name of a company, building or street is none.  Names in Cyrillic, Han and other
+scripts are told by their own cues and titles.
+
+Replacing gives each entity either a typed placeholder, numbered by first mention, or
+a surrogate drawn by key: of the same kind, format, letter case, width and script, the
+same for every mention of an entity in the whole corpus (coreference), different for
+different entities of the corpus and never one of its originals.  Given names keep
+their gender: it is voted by the titles before them in the whole corpus (Mr, Ms and the
+like), else taken from a list of common names; surrogates of women's names end in -a,
+of men's in a consonant, of unknown ones and of family names in another way.  Numbers
+are permuted, words composed of syllables; what meets all the same is found by a join
+over the distinct entities and drawn again.
 """
 
 from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
@@ -35,6 +40,7 @@ NAME_LIST_MOST = 500_000
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | dict.fromkeys([0xA0, 0x2007, 0x202F, 0x2009, 0x3000], 0x20) | dict.fromkeys([0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212], 0x2D) | {0x2019: 0x27, 0x02BC: 0x27}
 
 _MARK = re.compile(r"@|[\[(] ?at ?[\])]|(?<=\w) at (?=[A-Za-z0-9\-]+ dot [A-Za-z])", re.I)
+_LOCAL_SIGNS = frozenset("._%+'-")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+'\-]*[A-Za-z0-9_+\-])?(?=\s?$)")
 _DOT = r"(?:\.|\s?[\[(] ?dot ?[\])]\s?| dot )"
 _DOMAIN = re.compile(rf"\s?([A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,24}})(?![A-Za-z0-9])", re.I)
@@ -65,15 +71,18 @@ _INITIAL = rf"[{_UP}]\."
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof|Rev|Hon|MR|MRS|MS|DR|PROF)\.|Miss|Sir|Dame|Mister|Madam|Mr|Mrs|Ms|Dr|Prof) "
 _NAME = rf"(?:{_FAMILY}, {_WORD}(?: {_INITIAL})?|{_INITIAL} ?(?:{_INITIAL} ?)?{_FAMILY}|{_WORD} (?:{_INITIAL} )*{_FAMILY})"
 _CUES = [c + e for w in ("Attn", "ATTN", "Attention", "ATTENTION", "By", "BY", "Name", "NAME", "Witness", "witness", "WITNESS", "Applicant", "APPLICANT", "contact", "contacts", "Contact", "Contacts", "CONTACTS", "Signed", "Tenant", "Guarantor") for c, e in ((w, ": "), (w, ":"))] + [
-    w for x in ("attention ", "handed to ", "guarantor ", "appointed ", "prior tenant, ", "key holder is ", "returned by ", "contact person ", "care of ", "c/o ") for w in (x, x.upper(), x.capitalize())
+    w for x in ("attention ", "handed to ", "guarantor ", "appointed ", "prior tenant, ", "key holder is ", "returned by ", "contact person ", "care of ", "c/o ", "my name is ", "met with ", "spoke with ", "signed by ", "dear ", "sincerely, ", "attn ", "on behalf of ", "deponent ", "affiant ") for w in (x, x.upper(), x.capitalize())
 ]
 _CUED = re.compile(rf"({_TITLE})?({_NAME}|{_FAMILY})")
 _AND = re.compile(rf" (?:and|AND|&) ({_TITLE})?({_NAME}|{_FAMILY})")
 _TITLES = [t + e for t in ("Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "Rev", "Hon", "MR", "MRS", "MS", "DR", "PROF", "Mme") for e in (". ", " ", ".")] + ["Miss ", "Sir ", "Dame ", "Mister ", "Madam "]
 _TITLED = re.compile(rf" ?((?:{_INITIAL} ?)*(?:{_WORD} (?:{_INITIAL} )*)?{_FAMILY})")
 _TAILS = [" signed as guarantor", " SIGNED AS GUARANTOR", " as its site contact", " AS ITS SITE CONTACT", ", Managing Member", ", residing at", ", whose SSN", ", whose Soc", ", whose soc", ", whose tax", ", whose pass", ", whose Pass", ", whose driver", ", whose D.L.", " | Title:"] + [f" {c}" for c in ("((", "(+", "(0", "(1", "(2", "(3", "(4", "(5", "(6", "(7", "(8", "(9")]
-_ID_CUES = ["SSN", "S.S.N.", "ITIN", "D.L."] + [w for x in ("social sec", "soc. sec", "soc.sec", "taxpayer", "passport", "driver") for w in (x, x.upper(), x.capitalize(), x.title())]
+_ID_CUES = ["SSN", "S.S.N.", "ITIN", "D.L.", "NINO", "DNI", "NIE", "NIF", "NIR", "N.I.R"] + [w for x in ("social sec", "soc. sec", "soc.sec", "taxpayer", "passport", "driver", "national ins", "national id", "aadhaar", "steuer", "codice fiscale", "numéro de séc") for w in (x, x.upper(), x.capitalize(), x.title())]
 _BEFORE_TAIL = re.compile(rf"(?<![\w.'\-])({_TITLE})?({_NAME})$")
+#: Words that a name before a tail may have, titles and signs included.
+_NAME_WORDS = 7
+_GOES_ON_SMALL = re.compile(r"(?:,? [a-z]|[.,;:)]|$)")
 _GIVEN_FIRST = re.compile(rf" (?:{_INITIAL} )*({_FAMILY})(?![\w])")
 _GIVEN_LAST = re.compile(rf"(?<![\w.'\-])({_FAMILY}), $")
 _INITIALED = re.compile(rf"(?<![\w.'\-])({_INITIAL} ?(?:{_INITIAL} ?)?)({_FAMILY})")
@@ -87,6 +96,81 @@ _NO_PERSON = frozenset(
 )
 
 
+# Common given names by gender, without those that are words of contracts too (Mark, Bill, Grace, Rose).
+FEMALE = frozenset(
+    """anna maria mary margaret elizabeth jennifer linda barbara susan jessica sarah karen nancy lisa betty sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura
+    cynthia kathleen amy angela shirley brenda pamela nicole samantha katherine christine helen rachel carolyn janet catherine julia sophia isabella olivia emma sophie charlotte claire marie isabelle ingrid
+    elena olga natalia svetlana tatiana irina fatima aisha priya lakshmi sunita mei yuki""".split()
+)
+MALE = frozenset(
+    """james robert john michael david william richard joseph thomas christopher charles daniel matthew anthony steven andrew paul joshua kenneth kevin brian george timothy ronald jason edward jeffrey ryan jacob
+    gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory alexander patrick peter henry douglas pierre jean hans klaus carlos miguel juan luis sergei dmitri ivan vladimir nikolai
+    mohammed ahmed ali omar raj amit rahul wei hiroshi kenji""".split()
+)
+_HE = re.compile(r"(?:\b(?:Mr|MR|Herr|Hr|Sr|Monsieur|M)\.? ?|\b(?:Mister|Sir|Señor) |г-н |[Гг]осподин |श्री )$")
+_SHE = re.compile(r"(?:\b(?:Mrs|Ms|MRS|MS|Mme|Mlle|Fr|Sra|Srta)\.? ?|\b(?:Miss|Madam|Dame|Frau|Madame|Señora) |г-жа |[Гг]оспожа |श्रीमती )$")
+
+_CYR = "[А-ЯЁ][а-яё]+"
+#: Names of other scripts, each with its own cues: (script that must occur, pattern with the name as group 1).
+_SCRIPTS = [
+    (re.compile("[Ѐ-ӿ]"), re.compile(rf"(?:г-н|г-жа|[Гг]осподин|[Гг]оспожа|[Мм]еня зовут|Арендатор:|Подпись:|Подписал:|[Кк]онтакт(?:ное лицо)?:|Имя:|Вниманию:?|Attn:)\s+({_CYR}(?:-{_CYR})?(?:\s{_CYR}){{0,2}}|(?:[А-ЯЁ]\.\s?){{1,2}}{_CYR})")),
+    (re.compile("[Ѐ-ӿ]"), re.compile(rf"(?<![\w.])((?:{_CYR} )?{_CYR} [А-ЯЁ][а-яё]+(?:вич|вна|ична)(?: {_CYR})?)(?!\w)")),
+    (re.compile("[\u3040-\u9fff]"), re.compile("(?:收件人|联系人|聯絡人|姓名|签字人|签署人|担当者|氏名|署名|Attn|ATTN|Attention|宛先)[:：] ?([\u4e00-\u9fff]{2,4})(?![\u4e00-\u9fff])")),
+    (re.compile("[\u3040-\u9fff]"), re.compile("(?<![\u4e00-\u9fff])([\u4e00-\u9fff]{2,4}?)(?=先生|女士|小姐|様|さん)")),
+    (re.compile("[가-힣]"), re.compile("(?:담당자|수신|성명)[:：] ?([가-힣]{2,4})(?![가-힣])")),
+    (re.compile("[가-힣]"), re.compile("(?<![가-힣])([가-힣]{2,4})(?= ?(?:씨|님)(?![가-힣]))")),
+    (re.compile("[\u0600-\u06ff]"), re.compile("(?:السيدة|السيد|الاسم:|إلى:)\\s+([\u0621-\u064a]{2,}(?:\\s[\u0621-\u064a]{2,}){0,2}?)(?=[\\s،.,؛]|$)")),
+    (re.compile("[\u0900-\u097f]"), re.compile("(?:श्रीमती|श्री|नाम:)\\s+([\u0900-\u097f]{2,}(?:\\s[\u0900-\u097f]{2,})?)(?=[\\s,।]|$)")),
+]
+_NATIONAL_PHONE = re.compile(r"(?<![\w\-.,/+$#(])(?:\(0\d{2,4}\) ?\d{3,4}[ \-]\d{3,4}|0\d{2,4}[ \-/]\d{3,4}[ \-]\d{3,4}|0\d(?:[ .]\d\d){4})(?![\w\-])")
+_PROPER = r"(?:[A-ZÀ-Þ][\w'\-]+)(?: [A-ZÀ-Þ][\w'\-]+){0,2}"
+#: Addresses of other countries: signs one of which must occur, and the pattern.
+_EUROPE = [
+    ((" rue ", " avenue ", " boulevard ", " allée ", " chemin ", " quai ", " impasse "), re.compile(rf"(?<![\w\-.,$/#+])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|allée|chemin|quai|impasse)(?: (?:de la|de l'|du|des|de|d'|la|le|les))? ?{_PROPER}")),
+    (("straße ", "strasse ", "str. ", "weg ", "platz ", "allee ", "gasse ", "damm ", "ufer "), re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer) \d{1,4} ?[a-z]?(?!\w)")),
+    (("Calle ", "Avenida ", "Paseo ", "Via ", "Viale ", "Piazza ", "Corso ", "Rua "), re.compile(rf"(?<!\w)(?:Calle|Avenida|Paseo|Via|Viale|Piazza|Corso|Rua)(?: (?:de la|de los|del|de|da|do|di|della))? {_PROPER},? (?:n[.º°]+ ?)?\d{{1,4}}(?!\w)")),
+]
+_MORE_ID = re.compile(
+    r"\b(?:national insurance(?: (?:number|no\.?))?|NINO|Aadhaar(?: (?:number|no\.?))?|DNI|NIE|NIF|Steuer-?ID(?:nummer)?|Steueridentifikationsnummer|codice fiscale|numéro de sécurité sociale|N\.?I\.?R\.?|national id(?:entity)?(?: (?:card|number|no\.?))*)"
+    r"\s?(?:is\s)?[:#]?\s?((?=[A-Z0-9\- .]*\d)[A-Z0-9](?:[ .\-]?[A-Z0-9]){6,20})(?![\w])", re.I
+)
+
+
+def _verhoeff(digits: str) -> bool:
+    """Whether the last digit checks the others (dihedral group of order 10)."""
+    def times(a: int, b: int) -> int:
+        return (a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5
+    turn = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c)
+        for _ in range(i % 8):
+            d = turn[d]
+        total = times(total, d)
+    return total == 0
+
+
+def national_id(value: str) -> bool:
+    """Whether a number behind a national cue has a known form, with its check digit where there is one."""
+    bare = re.sub(r"[ .\-]", "", value).upper()
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", bare):
+        return True
+    if re.fullmatch(r"[XYZ]?\d{7,8}[A-Z]", bare):
+        number = int({"X": "0", "Y": "1", "Z": "2"}.get(bare[0], bare[0]) + bare[1:-1])
+        return "TRWAGMYFPDXBNJZSQVHLCKE"[number % 23] == bare[-1]
+    if re.fullmatch(r"\d{12}", bare):
+        return _verhoeff(bare)
+    if re.fullmatch(r"\d{11}", bare):
+        p = 10
+        for c in bare[:-1]:
+            n = (int(c) + p) % 10 or 10
+            p = n * 2 % 11
+        return (11 - p) % 10 == int(bare[-1])
+    if re.fullmatch(r"[12]\d{14}", bare):
+        return 97 - int(bare[:13]) % 97 == int(bare[13:])
+    return re.fullmatch(r"[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]", bare) is not None
+
+
 def _machine(words: list[tuple[str, str]]):
     """Finds all of the words at once: (start, end, sort) of each place."""
     try:
@@ -96,12 +180,13 @@ def _machine(words: list[tuple[str, str]]):
     sorts = {w: k for w, k in words}
     if ahocorasick is None:
         pattern = re.compile("(?=(" + "|".join(re.escape(w) for w in sorted(sorts, key=len, reverse=True)) + "))")
-        return lambda text: [(m.start(1), m.end(1), sorts[m[1]]) for m in pattern.finditer(text)]
+        shorter = {w: [v for v in sorts if w.startswith(v)] for w in sorts}
+        return lambda text: sorted(((m.start(), m.start() + len(w), sorts[w]) for m in pattern.finditer(text) for w in shorter[m[1]]), key=lambda h: (h[1], h[0]))
     found = ahocorasick.Automaton()
     for w, k in sorts.items():
         found.add_word(w, (len(w), k))
     found.make_automaton()
-    return lambda text: [(end + 1 - n, end + 1, k) for end, (n, k) in found.iter(text)]
+    return lambda text: sorted(((end + 1 - n, end + 1, k) for end, (n, k) in found.iter(text)), key=lambda h: (h[1], h[0]))
 
 
 class NameForms:
@@ -121,7 +206,7 @@ class NameForms:
         self.heads = frozenset(h for h, n in heads.items() if n >= least)
         self.tails = frozenset(h for h, n in tails.items() if n >= least)
         self.machine = _machine(
-            [(c, "cue") for c in _CUES] + [(c, "title") for c in _TITLES] + [(c, "tail") for c in _TAILS] + [(c, "id") for c in _ID_CUES] + [(w, "given") for n in self.given for w in (n.title(), n.upper())]
+            [(c, "cue") for c in _CUES] + [(c, "title") for c in _TITLES] + [(c, "tail") for c in _TAILS] + [(c, "id") for c in _ID_CUES] + [(w, "given") for n in self.given for w in (n.title(), n.upper())] + [(w, "common") for n in (FEMALE | MALE) - self.given for w in (n.title(), n.upper())]
         )
         self._seen: dict[str, bool] = {}
 
@@ -182,36 +267,55 @@ def find(text: str, forms: NameForms) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
 
     def free(start: int, end: int) -> bool:
-        return all(end <= a or start >= b for a, b, _ in taken)
+        """Spans never overlap, so only the neighbours can meet a new one."""
+        i = bisect_left(taken, (start,))
+        return (i == len(taken) or end <= taken[i][0]) and (i == 0 or taken[i - 1][1] <= start)
+
+    def take(start: int, end: int, kind: str) -> None:
+        insort(taken, (start, end, kind))
 
     # Whatever _MARK takes holds one of these.
     small = plain.lower()
     if any(x in small for x in ("@", "at)", "at ]", "at )", "at]", " dot ")):
         for m in _MARK.finditer(plain):
             domain = _DOMAIN.match(plain, m.end())
-            low = max(0, m.start() - 80)
-            local = _LOCAL.search(plain[low : m.start()]) if domain else None
+            if not domain:
+                continue
+            stop = low = m.start() - (m.start() > 0 and plain[m.start() - 1].isspace())
+            while low and (plain[low - 1] in _LOCAL_SIGNS or (plain[low - 1].isascii() and plain[low - 1].isalnum())):
+                low -= 1
+            local = _LOCAL.search(plain[low : m.start()]) if low < stop else None
             if local and free(low + local.start(), domain.end(1)):
-                taken.append((low + local.start(), domain.end(1), "email"))
+                take(low + local.start(), domain.end(1), "email")
     hits = forms.machine(plain)
     for start, _, sort in hits:
         if sort == "id" and not (start and plain[start - 1].isalnum()):
-            m = _ID.match(plain, start)
+            m = _ID.match(plain, start) or _MORE_ID.match(plain, start)
+            if m and m.re is _MORE_ID and not national_id(m[1]):
+                continue
             if m and free(m.start(1), m.end(1)):
-                taken.append((m.start(1), m.end(1), "id_number"))
+                take(m.start(1), m.end(1), "id_number")
     for m in _PHONE.finditer(plain):
         if free(m.start(), m.end()) and not _NO_PHONE.search(plain, max(0, m.start() - 40), m.start()):
-            taken.append((m.start(), m.end(), "phone"))
+            take(m.start(), m.end(), "phone")
+    for m in _NATIONAL_PHONE.finditer(plain) if " 0" in plain or "(0" in plain or "\n0" in plain or plain[:1] == "0" else ():
+        if free(m.start(), m.end()) and not _NO_PHONE.search(plain, max(0, m.start() - 40), m.start()):
+            take(m.start(), m.end(), "phone")
+    for signs, pattern in _EUROPE:
+        if any(x in plain for x in signs):
+            for m in pattern.finditer(plain):
+                if free(m.start(), m.end()):
+                    take(m.start(), m.end(), "address")
     for m in _ADDRESS.finditer(plain):
         if free(m.start(), m.end()) and not _NO_HOUSE.search(plain, max(0, m.start() - 14), m.start()):
-            taken.append((m.start(), m.end(), "address"))
+            take(m.start(), m.end(), "address")
 
     def name(start: int, found: str, cued: bool, trim: bool = True) -> bool:
         found = _trimmed(found, forms) if trim else found
         end = start + len(found)
         if not forms.person(found, cued) or not free(start, end) or _goes_on(plain, end, forms):
             return False
-        taken.append((start, end, "name"))
+        take(start, end, "name")
         return True
 
     cued, last = [], -1
@@ -233,32 +337,53 @@ def find(text: str, forms: NameForms) -> list[tuple[int, int, str]]:
             m = _TITLED.match(plain, end)
             if m:
                 name(m.start(1), m[1], True)
-        elif sort in ("tail", "given"):
+        elif sort in ("tail", "given", "common"):
             cued.append((start, end, sort, inner))
     for start, end, sort, inner in cued:
         if sort == "tail":
-            low = max(0, start - 60)
+            low = start
+            for _ in range(_NAME_WORDS):
+                low = max(0, plain.rfind(" ", 0, max(0, low - 1)) + 1)
             before = _BEFORE_TAIL.search(plain[low:start])
             if before:
                 name(low + before.start(2), before[2], "(" not in plain[start:end], trim=False)
+        elif sort == "common":
+            # A common given name and a capital word that the sentence goes on behind in small letters.
+            m = _GIVEN_FIRST.match(plain, end)
+            if not inner and m and m[1][1:].islower() and _GOES_ON_SMALL.match(plain, m.end()) and m[1] not in _STRUCTURE and m[1] not in _FIRM and not m[1].lower() in _NO_PERSON:
+                name(start, plain[start : m.end()], True, trim=False)
         elif not inner:
             m = _GIVEN_FIRST.match(plain, end)
             if m and forms.family_like(m[1]):
                 name(start, plain[start : m.end()], False, trim=False)
             elif not plain[end : end + 1].isalpha():
-                before = _GIVEN_LAST.search(plain[max(0, start - 40) : start])
+                low = max(0, plain.rfind(" ", 0, max(0, start - 2)) + 1)
+                before = _GIVEN_LAST.search(plain[low:start])
                 if before and forms.family_like(before[1]):
-                    name(max(0, start - 40) + before.start(1), before[0] + plain[start:end], False, trim=False)
+                    name(low + before.start(1), before[0] + plain[start:end], False, trim=False)
     for m in _INITIALED.finditer(plain):
         before = plain[max(0, m.start() - 12) : m.start()]
         if forms.family_like(m[2]) and not re.search(r"(?:Exhibit|EXHIBIT|Annex|Schedule|Art|Section|&|\d) ?$", before):
             name(m.start(), m[0], False, trim=False)
-    taken.sort()
+    if not plain.isascii():
+        for script, pattern in _SCRIPTS:
+            if script.search(plain):
+                for m in pattern.finditer(plain):
+                    if free(m.start(1), m.end(1)):
+                        take(m.start(1), m.end(1), "name")
     return taken
 
 
 _SYLLABLES = [a + v for a in "b d f g h j k l m n p r s t v z br dr st tr".split() for v in "aeiou"]
 _CODAS, _ENDS = ("", "l", "n", "r"), ("l", "n", "r", "s")
+# How the letters of syllables are written in Cyrillic, and letters of given names in other scripts.
+_CYRILLIC = dict(zip("abdefghijklmnoprstuvz", "абдефгхиджклмнопрстувз".replace("дж", "й"), strict=True))
+_STOCKS = {
+    "han": "明华建国志强伟军勇杰涛超辉刚平鹏飞文斌波宁林峰晨浩宇轩嘉怡雪梅兰芳静丽敏燕玲秀英红霞琳慧佳欣悦诗涵梓萱若彤",
+    "hangul": "민서준우현지수영진호성재훈태경은혜정윤아연주하나미선희숙동건원석철기상용",
+    "arabic": "بتثجحخدرزسشصطعفقكلمنهوي",
+    "devanagari": "कखगचजटडतदनपबमयरलवशसह",
+}
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7))
 _TAIL = re.compile(rf"\s(?:{_SUFFIX})\b\.?$", re.I)
 _AT = re.compile(r"\s?(?:@|[\[(] ?at ?[\])])| at ", re.I)
@@ -292,8 +417,28 @@ def _permuted(key: bytes, tweak: str, text: str) -> str:
     return "".join(reversed(out))
 
 
+def script(word: str) -> str:
+    """'latin', 'cyrillic', 'han', 'hangul', 'arabic' or 'devanagari' by the first letter."""
+    c = word[:1]
+    bounds = (("cyrillic", "\u0400", "\u052f"), ("arabic", "\u0600", "\u06ff"), ("devanagari", "\u0900", "\u097f"), ("han", "\u3040", "\u9fff"), ("hangul", "\uac00", "\ud7a3"))
+    return next((name for name, low, high in bounds if low <= c <= high), "latin")
+
+
+def usual_gender(word: str) -> str:
+    """'f' or 'm' of a common given name, in small letters; '' of others."""
+    return "f" if word in FEMALE else "m" if word in MALE else ""
+
+
 def _word(key: bytes, sort: str, value: str, attempt: int, a: bool) -> str:
-    """A word of three syllables and one more for each attempt, so the words never run out; it ends in -a if asked to."""
+    """A word of three syllables and one more for each attempt, so the words never run out; it ends in -a if asked to.
+
+    Words of other scripts are drawn from letters of the script, as many as the value
+    has and one more for each two attempts.
+    """
+    kind = script(value) if sort == "word" else "latin"
+    if kind in _STOCKS:
+        stock = _STOCKS[kind]
+        return "".join(stock[_draw(key, sort, value, attempt, i) % len(stock)] for i in range(max(2, len(value)) + attempt // 2))
     out, n = [], 0
     for i in range(last := 2 + attempt):
         n = n if n >= 400 else _draw(key, sort, value, attempt, i)
@@ -301,7 +446,8 @@ def _word(key: bytes, sort: str, value: str, attempt: int, a: bool) -> str:
         out.append(_SYLLABLES[k // 4] + _CODAS[k % 4])
     k = _draw(key, sort, value, attempt, last) % 400
     out.append(_SYLLABLES[k // 4][:-1] + "a" if a else _SYLLABLES[k // 4] + _ENDS[k % 4])
-    return "".join(out)
+    found = "".join(out)
+    return "".join(_CYRILLIC[c] for c in found) if kind == "cyrillic" else found
 
 
 def canonical(kind: str, value: str) -> str:
@@ -334,7 +480,7 @@ def units(kind: str, value: str) -> list[tuple[str, str]]:
     same = canonical(kind, value)
     if kind != "name":
         return [(kind, same)]
-    return [("word", w) for w in re.findall(rf"[{_LO}]+", same) if len(w) > 1]
+    return [("word", w) for w in re.findall(r"[^\W\d_](?:[^\W\d_]|[\u0900-\u0963])*", same) if len(w) > 1]
 
 
 @lru_cache
@@ -345,9 +491,10 @@ def _initials(key: bytes, letters: str) -> dict[str, str]:
 
 
 @lru_cache(1 << 16)
-def fresh_unit(key: bytes, sort: str, unit: str, attempt: int = 0) -> str:
+def fresh_unit(key: bytes, sort: str, unit: str, attempt: int = 0, gender: str | None = None) -> str:
     """The surrogate of a unit, in canonical form.
 
+    gender: of a word of a name ('f', 'm' or '' where unknown); None is the usual one.
     Numbers are permuted, so one attempt never joins two of them; words may meet,
     which ``attempts_over`` settles.
     """
@@ -363,25 +510,32 @@ def fresh_unit(key: bytes, sort: str, unit: str, attempt: int = 0) -> str:
         tail, n = _TAIL.search(unit), _draw(key, "house", unit, attempt)
         house = str(n % 8999 + 100) if unit[0].isdigit() else _NUMBER.lower().split("|")[n % 20]
         return f"{house} {_word(key, sort, unit, attempt, False)}{tail[0] if tail else ' street'}"
-    return _word(key, sort, unit, attempt, unit.endswith("a"))
+    gender = usual_gender(unit) if gender is None else gender
+    return _word(key, sort, unit, attempt, gender == "f" or (not gender and unit.endswith(("a", "а"))))
+
 
+def surrogate(key: bytes, kind: str, value: str, attempts: Mapping[tuple[str, str], int], genders: Mapping[str, str] | None = None) -> str:
+    """A replacement of the same kind and shape.
 
-def surrogate(key: bytes, kind: str, value: str, attempts: Mapping[tuple[str, str], int]) -> str:
-    """A replacement of the same kind and shape; attempts has the units that are not at their first one."""
+    attempts has the units that are not at their first one, genders the words of names
+    whose gender is not the usual one.
+    """
+    genders = genders or {}
     plain = value.translate(_WIDE)
     if kind == "name":
 
         def part(m: re.Match[str]) -> str:
             old = value[m.start() : m.end()]
             if len(m[0]) > 1:
-                return _like(old, fresh_unit(key, "word", m[0].lower(), attempts.get(("word", m[0].lower()), 0)))
+                word = m[0].lower()
+                return _like(old, fresh_unit(key, "word", word, attempts.get(("word", word), 0), genders.get(word)))
             letters = next((x for x in _LETTERS if m[0] in x), "")
             if not letters or plain[m.end() : m.end() + 1] != ".":
                 return old
             return _like(old, _initials(key, letters)[m[0]].lower())
 
         out, at = [], 0
-        for m in re.finditer(rf"[{_UP}{_LO}]+", plain):
+        for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|[\u0900-\u0963])*", plain):
             out += [value[at : m.start()], part(m)]
             at = m.end()
         return "".join([*out, value[at:]])
@@ -426,11 +580,12 @@ def attempts_in(key: bytes, found: Iterable[tuple[str, str]]) -> dict[tuple[str,
 
 
 def attempts_over(found: DataFrame, key: bytes) -> DataFrame:
-    """``sort, unit, attempt`` of the units not at their first attempt.
+    """``sort, unit, gender, attempt`` of the units not at their first attempt or of an unusual gender.
 
-    found: distinct ``sort, unit`` of the corpus.  No two units have one surrogate
-    and none is a unit of the corpus: whoever meets an original, or a unit that
-    settled before (else the lesser one), goes on to its next attempt, until none does.
+    found: distinct ``sort, unit, gender`` of the corpus (gender null is the usual one).
+    No two units have one surrogate and none is a unit of the corpus: whoever meets an
+    original, or a unit that settled before (else the lesser one), goes on to its next
+    attempt, until none does.
     """
     shapes = found.filter("sort = 'id_number'").groupBy(F.regexp_replace(F.regexp_replace("unit", "[a-z]", "a"), "[0-9]", "9").alias("shape")).count()
     space = F.pow(F.lit(10.0), F.length(F.regexp_replace("shape", "a", ""))) * F.pow(F.lit(26.0), F.length(F.regexp_replace("shape", "9", "")))
@@ -440,22 +595,22 @@ def attempts_over(found: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fresh_unit(key, *r) for r in rows], pa.string())], names=["sort", "unit", "attempt", "fresh"])
+            fresh = [fresh_unit(key, sort, unit, attempt, gender) for sort, unit, gender, attempt in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh, pa.string())], names=["sort", "unit", "gender", "attempt", "fresh"])
 
     state = found.withColumn("attempt", F.lit(0))
     first = W.partitionBy("sort", "fresh").orderBy("attempt", "unit")
     while True:
-        drawn = state.mapInArrow(run, "sort string, unit string, attempt int, fresh string")
+        drawn = state.mapInArrow(run, "sort string, unit string, gender string, attempt int, fresh string")
         originals = found.select("sort", F.col("unit").alias("fresh"), F.lit(True).alias("original"))
         state = cut(
             drawn.withColumn("later", F.row_number().over(first) > 1)
             .join(originals, ["sort", "fresh"], "left")
             .withColumn("bad", F.col("later") | F.col("original").isNotNull())
-            .select("sort", "unit", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad")
+            .select("sort", "unit", "gender", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad")
         )
         if not state.filter("bad").limit(1).count():
-            return state.filter("attempt > 0").select("sort", "unit", "attempt")
+            return state.filter("attempt > 0 or gender is not null").select("sort", "unit", "gender", "attempt")
         state = state.drop("bad")
 
 
@@ -491,27 +646,81 @@ def name_forms(names: DataFrame) -> NameForms:
     return NameForms((r.token, r.kind) for r in rows)
 
 
-def entities(documents: DataFrame, names: DataFrame, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
-    """``document_id, kind, start_char, end_char`` of every occurrence.
+def _rows(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return documents.select(F.col(id_column).cast("string").alias("document_id"), F.col(text_column).alias("text")).filter("document_id is not null")
 
-    Null and empty texts have none; an empty name list leaves cues and titles;
-    repeated rows count once; rows with a null id are left out; whole texts are read.
-    """
+
+def _vote(text: str, start: int, value: str) -> tuple[str | None, int]:
+    """The given name of a full name behind a title, and what the title says: 1 of a woman, -1 of a man, 0 nothing."""
+    words = [w for _, w in units("name", value)]
+    before = text[max(0, start - 12) : start]
+    if len(words) < 2 or not before:
+        return None, 0
+    return words[0], 1 if _SHE.search(before) else -1 if _HE.search(before) else 0
+
+
+def mentions(documents: DataFrame, names: DataFrame, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
+    """``document_id, text_hash, kind, start_char, end_char, value, given, vote`` of every occurrence, each row of the table read once."""
     forms = name_forms(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kinds, starts, ends = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            rows, kinds, starts, ends, values, given, votes = [], [], [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 for a, b, kind in find(text, forms):
+                    who, vote = _vote(text, a, text[a:b]) if kind == "name" else (None, 0)
                     rows.append(i)
                     kinds.append(kind)
                     starts.append(a)
                     ends.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["document_id", "kind", "start_char", "end_char"])
+                    values.append(text[a:b])
+                    given.append(who)
+                    votes.append(vote)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string()), pa.array(given, pa.string()), pa.array(votes, pa.int32())],
+                names=["document_id", "text_hash", "kind", "start_char", "end_char", "value", "given", "vote"],
+            )
+
+    rows = _rows(documents, id_column, text_column).filter("text is not null").select("document_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "document_id string, text_hash long, kind string, start_char int, end_char int, value string, given string, vote int").distinct()
+
+
+def surrogates(found: DataFrame, key: str) -> DataFrame:
+    """``kind, value, surrogate`` of every distinct value of the mentions: one table for the whole corpus."""
+    secret = key.encode()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, v, *u) for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) for u in units(k, v)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["kind", "value", "sort", "unit"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fresh = []
+            for kind, value, moved in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                moved = moved or ()
+                fresh.append(surrogate(secret, kind, value, {(m["sort"], m["unit"]): m["attempt"] for m in moved}, {m["unit"]: m["gender"] for m in moved if m["gender"] is not None}))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fresh, pa.string())], names=["kind", "value", "surrogate"])
+
+    values = found.select("kind", "value").distinct()
+    parts = cut(values.mapInArrow(cut_up, "kind string, value string, sort string, unit string").distinct())
+    usual = F.when(F.col("unit").isin(*FEMALE), "f").when(F.col("unit").isin(*MALE), "m").otherwise("")
+    voted = found.filter("vote <> 0").groupBy(F.col("given").alias("unit")).agg(F.sum("vote").alias("vote")).filter("vote <> 0")
+    genders = voted.select(F.lit("word").alias("sort"), "unit", F.when(F.col("vote") > 0, "f").otherwise("m").alias("gender")).filter(F.col("gender") != usual)
+    moved = cut(attempts_over(cut(parts.select("sort", "unit").distinct().join(genders, ["sort", "unit"], "left")), secret))
+    of_value = parts.join(moved, ["sort", "unit"]).groupBy("kind", "value").agg(F.collect_list(F.struct("sort", "unit", "gender", "attempt")).alias("moved"))
+    return cut(values.join(of_value, ["kind", "value"], "left").select("kind", "value", "moved").mapInArrow(draw, "kind string, value string, surrogate string"))
+
 
-    rows = documents.select(F.col(id_column).cast("string").alias("document_id"), F.col(text_column).alias("text")).filter("document_id is not null and text is not null")
-    return rows.mapInArrow(run, "document_id string, kind string, start_char int, end_char int").distinct()
+def entities(documents: DataFrame, names: DataFrame, key: str, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
+    """``document_id, kind, start_char, end_char, surrogate`` of every occurrence, with what replaces it.
+
+    Null and empty texts have none; an empty name list leaves cues and titles;
+    repeated rows count once; rows with a null id are left out; whole texts are read.
+    """
+    found = cut(mentions(documents, names, id_column, text_column))
+    return found.join(surrogates(found, key), ["kind", "value"]).select("document_id", "kind", "start_char", "end_char", "surrogate").distinct()
 
 
 def redacted(documents: DataFrame, names: DataFrame, key: str | None = None, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
@@ -520,10 +729,10 @@ def redacted(documents: DataFrame, names: DataFrame, key: str | None = None, id_
     Without key typed placeholders, with key surrogates.  A null text stays null
     and has no codes; repeated rows are kept once.
     """
-    forms = name_forms(names)
-    rows = documents.select(F.col(id_column).cast("string").alias("document_id"), F.col(text_column).alias("text")).filter("document_id is not null")
+    rows = _rows(documents, id_column, text_column)
     if key is not None:
-        return _with_surrogates(rows, forms, key.encode())
+        return _with_surrogates(documents, rows, names, key, id_column, text_column)
+    forms = name_forms(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -542,34 +751,23 @@ def _codes(spans: list[tuple[int, int, str]]) -> list[str]:
     return [k for k in KINDS if k in kinds]
 
 
-def _with_surrogates(rows: DataFrame, forms: NameForms, key: bytes) -> DataFrame:
-    """Finds once, settles the surrogates of all distinct units, then replaces."""
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-    unit = pa.struct([("sort", pa.string()), ("unit", pa.string())])
-
-    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, parts = [], []
-            for text in batch.column(1).to_pylist():
-                found = find(text, forms) if text else []
-                spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-                parts.append([{"sort": s, "unit": u} for s, u in sorted({u for a, b, k in found for u in units(k, text[a:b])})])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(span)), pa.array(parts, pa.list_(unit))], names=["document_id", "text", "row", "spans", "units"])
+def _with_surrogates(documents: DataFrame, rows: DataFrame, names: DataFrame, key: str, id_column: str, text_column: str) -> DataFrame:
+    """Texts are found in once and joined once, to the spans of their own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, codes = [], []
-            for text, spans, moved in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                found = [(s["start"], s["end"], s["kind"]) for s in spans]
-                texts.append(replace(text, found, key, {(m["sort"], m["unit"]): m["attempt"] for m in moved or ()}) if found else text)
-                codes.append(_codes(found))
+            for text, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                out, at = [], 0
+                for span in spans or ():
+                    out += [text[at : span["start_char"]], span["surrogate"]]
+                    at = span["end_char"]
+                texts.append("".join([*out, text[at:]]) if spans else text)
+                codes.append(_codes([(0, 0, span["kind"]) for span in spans or ()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(codes, pa.list_(pa.string()))], names=["document_id", "text", "redaction_codes"])
 
-    schema = "document_id string, text string, row long, spans array<struct<start:int,end:int,kind:string>>, units array<struct<sort:string,unit:string>>"
-    seen = cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(detect, schema))
-    parts = seen.select("row", F.explode("units").alias("u")).select("row", "u.sort", "u.unit")
-    moved = cut(attempts_over(cut(parts.select("sort", "unit").distinct()), key))
-    of_row = parts.join(moved, ["sort", "unit"]).groupBy("row").agg(F.collect_list(F.struct("sort", "unit", "attempt")).alias("moved"))
-    none = F.array().cast("array<struct<sort:string,unit:string,attempt:int>>")
-    ready = seen.join(of_row, "row", "left") if moved.limit(1).count() else seen.withColumn("moved", none)
-    return ready.select("document_id", "text", "spans", "moved").mapInArrow(run, "document_id string, text string, redaction_codes array<string>").distinct()
+    found = cut(mentions(documents, names, id_column, text_column))
+    fresh = found.join(surrogates(found, key), ["kind", "value"])
+    spans = fresh.groupBy("document_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "kind", "surrogate"))).alias("spans"))
+    ready = rows.withColumn("text_hash", F.xxhash64("text")).join(spans, ["document_id", "text_hash"], "left")
+    return ready.select("document_id", "text", "spans").mapInArrow(run, "document_id string, text string, redaction_codes array<string>").distinct()

@@ -37,11 +37,13 @@ def p2_unsearched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.entities(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"))
+    """Every occurrence with the surrogate that replaces it."""
+    return privacy.entities(text_table(spark, sf_dir, "processed_document"), table(spark, sf_dir, "name_list"), key="clausemill")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_entities(spark, sf_dir).select("document_id", "kind", "start_char").distinct()
+    """Occurrences that got a surrogate unlike themselves: all of them."""
+    return p3_entities(spark, sf_dir).filter("surrogate is not null").select("document_id", "kind", "start_char").distinct()
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,16 +69,60 @@ def test_replacement_is_typed_consistent_and_distinct():
     assert P.replace("x", [], b"k") == "x"
 
 
+UNSEEN = [
+    ("Attn: 王小明, room 5", "王小明", "name"), ("联系人：李小龙，电话", "李小龙", "name"), ("Меня зовут Иван Петров и я", "Иван Петров", "name"),
+    ("договор подписал Сергей Иванович Кузнецов вчера", "Сергей Иванович Кузнецов", "name"), ("담당자: 김철수, 서울", "김철수", "name"), ("My name is Priya Raghunathan.", "Priya Raghunathan", "name"),
+    ("We met Robert Johnson at noon.", "Robert Johnson", "name"), ("I spoke with Hans Gruber, who left", "Hans Gruber", "name"), ("call 020 7946 0958 today", "020 7946 0958", "phone"),
+    ("ring 01 42 68 53 00 soon", "01 42 68 53 00", "phone"), ("her national insurance number is QQ123456C", "QQ123456C", "id_number"), ("Aadhaar 2341 2341 2346", "2341 2341 2346", "id_number"),
+    ("DNI 12345678Z", "12345678Z", "id_number"), ("wohnt Hauptstraße 12, Berlin", "Hauptstraße 12", "address"), ("habite 12 rue de la Paix, Paris", "12 rue de la Paix", "address"),
+    ("vive en Calle Mayor 3, Madrid", "Calle Mayor 3", "address"), ("mail " + "x" * 300 + ".a@mail.example.org", "x" * 300 + ".a@mail.example.org", "email"),
+]
+
+
+@pytest.mark.parametrize(("text", "value", "kind"), UNSEEN)
+def test_wording_of_other_countries(text, value, kind):
+    assert kinds(text) == [(value, kind)]
+    fresh = P.replace(text, P.find(text, FORMS), b"key")
+    assert value not in fresh and P.script(P.replace(text, P.find(text, FORMS), b"key")[text.index(value) :]) == P.script(value)
+
+
+@pytest.mark.parametrize("text", ["Rate Mark Up and Grace Period", "The Paul Revere Building is old", "a John Deere Leasing Co. unit", "DNI 12345678A", "Aadhaar 2341 2341 2345", "Platz 9 ist frei"])
+def test_no_case_of_other_countries(text):
+    assert kinds(text) == []
+
+
+def test_given_names_keep_their_gender(spark):
+    names = spark.createDataFrame([(f, "family") for f in ("kelmont", "fenworth", "dornley")], "token string, kind string")
+    rows = [("a", "Ms. Robin Kelmont and Mr. Zoran Fenworth"), ("b", "Attn: Robin Dornley. Attn: Zoran Kelmont."), ("c", "Attn: Margaret Kelmont. Attn: Joshua Kelmont.")]
+    out = {r.document_id: r.text for r in P.redacted(spark.createDataFrame(rows, "document_id string, normalized_text string"), names, "key").collect()}
+    given = {d: re.findall(r"(?:Ms\.|Mr\.|Attn:) (\w+) \w+", t) for d, t in out.items()}
+    assert given["a"] == given["b"] and all(w[0].endswith("a") and not w[1].endswith("a") for w in given.values())
+
+
+def test_machines_agree():
+    words = [("Mr. ", "title"), ("Mr", "title"), ("Mr.", "title"), ("by ", "cue"), ("y ", "cue")]
+    import builtins
+
+    real, text = builtins.__import__, "by Mr. X by Mr Y"
+    found = P._machine(words)(text)
+    try:
+        builtins.__import__ = lambda name, *a: (_ for _ in ()).throw(ImportError()) if name == "ahocorasick" else real(name, *a)
+        plain = P._machine(words)(text)
+    finally:
+        builtins.__import__ = real
+    assert found == plain and len(found) > 5
+
+
 def test_privacy_frames(spark):
     names = spark.createDataFrame(NAMES, "token string, kind string")
     long = "filler words " * 20000 + "call 212-555-0168"
     rows = [("a", "call 212-555-0168", 1), ("a", "call 212-555-0168", 1), ("b", None, 1), ("c", "", 1), (None, "call 212-555-0168", 1), ("d", long, 1)]
     frame = spark.createDataFrame(rows, "document_id string, normalized_text string, kind int")
-    assert sorted((r.document_id, r.start_char) for r in P.entities(frame, names).collect()) == [("a", 5), ("d", len(long) - 12)]
+    assert sorted((r.document_id, r.start_char) for r in P.entities(frame, names, 'k').collect()) == [("a", 5), ("d", len(long) - 12)]
     red = {r.document_id: (r.text, r.redaction_codes) for r in P.redacted(frame, names).collect()}
     assert red["a"] == ("call [PHONE_1]", ["phone"]) and red["b"] == (None, []) and red["c"] == ("", [])
-    assert P.entities(frame.limit(0), names).count() == 0
-    assert P.entities(frame, names.limit(0)).count() == 2
+    assert P.entities(frame.limit(0), names, 'k').count() == 0
+    assert P.entities(frame, names.limit(0), 'k').count() == 2
 
 
 def test_surrogates_are_distinct_over_the_corpus(spark):
@@ -107,12 +151,12 @@ def test_surrogates_of_unusual_signs(text):
 
 def test_attempts_settle_all_clashes(spark):
     units = [("phone", f"212555{i:04}") for i in range(3000)] + [("id_number", f"{i:05}") for i in range(20_000)] + [("word", f"kelmont{i}") for i in range(3000)]
-    moved = {(r.sort, r.unit): r.attempt for r in P.attempts_over(spark.createDataFrame(units, "sort string, unit string"), b"key").collect()}
+    moved = {(r.sort, r.unit): r.attempt for r in P.attempts_over(spark.createDataFrame([(*u, None) for u in units], "sort string, unit string, gender string"), b"key").collect()}
     fresh = {u: (u[0], P.fresh_unit(b"key", *u, moved.get(u, 0))) for u in units}
     assert len(set(fresh.values())) == len(units) and not set(fresh.values()) & set(units) and moved
     assert moved == P.attempts_in(b"key", units)
     with pytest.raises(ValueError):
-        P.attempts_over(spark.createDataFrame([("id_number", f"{i:05}") for i in range(30_000)], "sort string, unit string"), b"key")
+        P.attempts_over(spark.createDataFrame([("id_number", f"{i:05}", None) for i in range(30_000)], "sort string, unit string, gender string"), b"key")
 
 
 def texts():
