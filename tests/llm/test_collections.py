@@ -193,5 +193,17 @@ def test_classifier_learns_topics():
 
     texts = ["rent lease tenant", "court judge appeal"] * 50
     model = M.Classifier(["a", "b"]).fit(texts, [0, 1] * 50)
-    p = model.posterior(pa.array(["lease rent rent", "appeal judge", "", None]))
+    p = model.posterior(pa.array(["lease rent rent", "appeal judge", "", None]), np.full(4, -1))
     assert p[0].argmax() == 0 and p[1].argmax() == 1 and np.allclose(p.sum(axis=1), 1) and np.allclose(p[2], p[3])
+
+
+def test_text_evidence_is_calibrated():
+    """Texts that tell their source count, texts that do not leave the stored source alone."""
+    import pyarrow as pa
+
+    random.seed(3)
+    told = M.Classifier.calibrated(["a", "b"], [t for _ in range(100) for t in ("rent lease tenant", "court judge appeal")], [0, 1] * 100)
+    noise = M.Classifier.calibrated(["a", "b"], [" ".join(random.choice(["rent", "court", "dock"]) for _ in range(30)) for _ in range(400)], [random.randrange(2) for _ in range(400)])
+    assert told.weight > noise.weight
+    p = noise.posterior(pa.array(["rent dock", "rent dock"]), np.array([0, 1]))
+    assert p[0, 0] > 0.95 and p[1, 1] > 0.95 and 0 < p[0, 1] < 0.05
