@@ -114,3 +114,18 @@ def class_pairs(members: DataFrame, class_column: str, id_column: str, block: in
     left = placed.select("c", F.col("own").alias("i"), F.col("other").alias("j"), F.col("m").alias("a"))
     right = placed.select("c", F.col("other").alias("i"), F.col("own").alias("j"), F.col("m").alias("b"))
     return left.join(right, ["c", "i", "j"]).filter("a < b").select("a", "b")
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, size: int = 1024) -> DataFrame:
+    """Inner join of two sides on ``key``, no task of which holds more than about ``size`` rows of a left group.
+
+    Rows of keys that one side lacks go first; a left group is cut into parts by hash
+    of its row, to each of which the right group is sent.  So a key that a third of all
+    rows share is spread over many tasks.
+    """
+    left_counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    parts = left_counts.join(right.select(key).distinct(), key).select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
+    parts = cut(parts)
+    spread = left.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")).drop("_parts")
+    copied = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return spread.join(copied, [key, "_part"]).drop("_part")

@@ -14,7 +14,7 @@ by cost: document counts of frequent tokens, gathered over all documents, make
 segments of nothing but frequent tokens expensive, and these are left out as long
 as the others reach H + 1; segments of many tokens come before those of one.  With
 picks worth H + c a similar pair meets c times at least, and a small histogram of
-each set's tokens bounds the differing tokens from below; both thin the candidates.
+each candidate's tokens bounds the differing tokens from below; both thin the candidates.
 What is left is verified exactly on the whole texts.
 
 Signatures travel packed, five bytes each, one row per document and bucket, so the
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from clausemill.llm import kernel as K
-from clausemill.llm.components import components
+from clausemill.llm.components import block_join, class_pairs, components
 from clausemill.session import cut
 
 U64 = np.uint64
@@ -54,11 +54,10 @@ HOT_DOCUMENTS = 100_000
 #: Bits of the candidate filter at least and at most (2 MB and 64 MB as broadcast).
 FILTER_BITS = (1 << 24, 1 << 29)
 _HASH_BITS = U64(38)
+#: Bits of a segment's number in the keys of a chunk; a chunk has far fewer texts than the other bits count.
+SEGMENT_BITS = 36
 #: Cells of the token histogram, four bits each.
 CELLS = 128
-#: With so many buckets at most a histogram travels with each row; with more, when a row
-#: holds few signatures, histograms are joined to the candidates instead.
-CARRIED = 64
 
 
 def differing(size: np.ndarray, other: np.ndarray, t: float) -> np.ndarray:
@@ -83,6 +82,7 @@ def segments_of_band(band: int, t: float) -> int:
 
 
 def _frequent_counts(batches: Iterator[pa.RecordBatch], size: int, share: float) -> Iterator[pa.RecordBatch]:
+    """(what, token, n): 0 counts of a token, 1 all tokens, 2 all documents."""
     for batch in batches:
         parts, docs, total = [], batch.num_rows, 0
         for _, tokens, _ in K.shingle_sets(batch.column(0), size):
@@ -90,22 +90,21 @@ def _frequent_counts(batches: Iterator[pa.RecordBatch], size: int, share: float)
             total += len(tokens)
         tokens, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
         keep = counts >= max(2, docs * share / 2)
-        # A token of zero stands for the totals.
+        n = int(keep.sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(tokens[keep].view(np.int64), 0)), pa.array(np.append(counts[keep].astype(np.int64), total))], names=["token", "n"]
+            [pa.array(np.append(np.zeros(n, np.int32), np.array([1, 2], np.int32))), pa.array(np.append(tokens[keep].view(np.int64), [0, 0])), pa.array(np.append(counts[keep].astype(np.int64), [total, docs]))], names=["what", "token", "n"]
         )
 
 
 def frequent_tokens(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Frequent tokens with their document counts, over all texts; all tokens; all documents."""
-    documents = texts.count()
-    counted = texts.mapInArrow(lambda it: _frequent_counts(it, size, FREQUENT_SHARE), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    """Frequent tokens with their document counts, over all texts; all tokens; all documents.  One scan."""
+    counted = cut(texts.mapInArrow(lambda it: _frequent_counts(it, size, FREQUENT_SHARE), "what int, token long, n long").groupBy("what", "token").agg(F.sum("n").alias("n")))
+    sums = {r.what: r.n for r in counted.filter("what > 0").collect()}
+    total, documents = sums.get(1, 0), sums.get(2, 0)
     least = max(FREQUENT_LEAST, documents * FREQUENT_SHARE)
-    rows = counted.filter((F.col("n") >= least) | (F.col("token") == 0)).orderBy(F.desc(F.col("token") == 0), F.desc("n"), "token").limit(FREQUENT_MOST).toArrow()
+    rows = counted.filter((F.col("what") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).toArrow()
     tokens, counts = rows.column("token").to_numpy().view(U64), rows.column("n").to_numpy()
-    total = int(counts[tokens == 0].sum())
     order = np.argsort(tokens)
-    order = order[tokens[order] != 0]
     return tokens[order], counts[order], total, documents
 
 
@@ -114,7 +113,14 @@ class _Signer:
 
     def __init__(self, t: float, hot: np.ndarray, hot_counts: np.ndarray):
         self.t, self.hot, self.counts = t, hot, hot_counts
-        self.m = np.array([segments_of_band(b, t) for b in range(25)], np.int64)
+        self._m: dict[int, int] = {}
+
+    def _segments(self, band: np.ndarray) -> np.ndarray:
+        """Segments of each band, of sets of any size."""
+        for b in np.unique(band).tolist():
+            if b not in self._m:
+                self._m[b] = segments_of_band(b, self.t)
+        return np.array([self._m[b] for b in band.tolist()], np.int64)
 
     def _one_band(self, tokens: np.ndarray, cost: np.ndarray, offsets: np.ndarray, docs: np.ndarray, band: np.ndarray, own: bool):
         """docs: rows to sign; band: the band of each, by whose universe it is cut."""
@@ -126,12 +132,12 @@ class _Signer:
         x, price = tokens[chosen], cost[chosen]
         local = np.cumsum(keep) - 1
         d = local[token_doc[chosen]]
-        m = self.m[band]
-        segment = ((x * U64(0x9FB21C651E98DF25)) >> U64(33)).astype(np.int64) % m[d]
+        m = self._segments(band)
+        segment = ((x * U64(0x9FB21C651E98DF25)) >> U64(16)).astype(np.int64) % m[d]
         # Slots of the segments that are used, in order of document and segment.
-        key = d * (1 << 21) + segment
+        key = (d << SEGMENT_BITS) + segment
         slots, slot = np.unique(key, return_inverse=True)
-        slot_doc, slot_segment = slots >> 21, slots & ((1 << 21) - 1)
+        slot_doc, slot_segment = slots >> SEGMENT_BITS, slots & ((1 << SEGMENT_BITS) - 1)
         mixed = K.mix(x ^ U64(0x2545F4914F6CDD1D))
         sums = np.zeros(len(slots), U64)
         np.add.at(sums, slot, mixed)
@@ -236,7 +242,7 @@ def _hot_rows(doc: np.ndarray, sig: np.ndarray, own: np.ndarray, picked: np.ndar
     blobs = [data[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(doc)), strict=True)]
     of = doc[begins]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(of), -2, np.int32)), pa.array(nodes[of].astype(np.int64)), pa.array(fact[of].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([b""] * len(of), pa.binary())], names=["bucket", "node", "size", "sigs", "cells"]
+        [pa.array(np.full(len(of), -2, np.int32)), pa.array(nodes[of].astype(np.int64)), pa.array(fact[of].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "node", "size", "sigs"]
     )
 
 
@@ -311,16 +317,14 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], signer: _Signer, size: in
             ends = np.append(begins[1:], len(key)).astype(np.int64) if len(key) else begins
             blobs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((np.append(begins, ends[-1:] if len(ends) else 0) * 5).astype(np.int32)), pa.py_buffer(data)])
             row_doc = key[begins] % len(sizes) if len(key) else begins
-            cells = pa.array([x.tobytes() for x in _histograms(tokens, offsets)] if buckets <= CARRIED else [b""] * len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((key[begins] // len(sizes), np.full(len(short), -1))).astype(np.int32)),
                     pa.array(np.concatenate((nodes[row + row_doc], nodes[row + short])).astype(np.int64)),
                     pa.array(np.concatenate((fact[row_doc], fact[short])).astype(np.int32)),
                     pa.concat_arrays([blobs, pa.array([b""] * len(short), pa.binary())]),
-                    cells.take(pa.array(np.concatenate((row_doc, short)).astype(np.int64))),
                 ],
-                names=["bucket", "node", "size", "sigs", "cells"],
+                names=["bucket", "node", "size", "sigs"],
             )
 
 
@@ -387,10 +391,6 @@ def _bucket_pairs(table: pa.Table, t: float) -> pa.Table:
     picked, own = (packed & U64(1)).astype(bool), (packed & U64(2)).astype(bool)
     short = ~long & useful
     pairs, times = _pairs_of(signature[short], member[short], node_size[member[short]], own[short], picked[short], t)
-    if len(pairs) and len(table.column("cells")[0].as_py()):
-        cells = np.frombuffer(b"".join(table.column("cells").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(first), CELLS // 2)
-        good = _near_enough(cells, node_size, pairs >> 32, pairs & 0xFFFFFFFF, t)
-        pairs, times = pairs[good], times[good]
     x, y = pairs >> 32, pairs & 0xFFFFFFFF
     need = np.minimum(node_fact[x] & 3, node_fact[y] & 3)
     parts = [pa.Table.from_pydict({"kind": np.zeros(len(pairs), np.int32), "a": unique[pairs >> 32], "b": unique[pairs & 0xFFFFFFFF], "size": ((times << 2) | need).astype(np.int32)}, schema=schema)]
@@ -436,29 +436,38 @@ def within(frame: DataFrame, key: str, members: DataFrame, count: int) -> DataFr
     return tested.filter(byte.bitwiseAND(F.expr("cast(pow(2, _at % 8) as int)")) != 0).drop("_at", "block", "bitmap")
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch], size: int, t: float, allowed: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(token, node) of the first n - ceil(t n) + 1 tokens of every set, those whose bit is set in ``allowed``."""
+    for batch in batches:
+        ids = batch.column(0)
+        for row, tokens, offsets in K.shingle_sets(batch.column(1), size):
+            sizes = np.diff(offsets)
+            place = np.arange(len(tokens)) - np.repeat(offsets[:-1], sizes)
+            keep = place < np.repeat(sizes - np.ceil(sizes * t - 1e-9).astype(np.int64) + 1, sizes)
+            if allowed is not None:
+                keep &= ((allowed[(tokens >> U64(43)).astype(np.int64)] >> ((tokens >> U64(40)) & U64(7)).astype(np.uint8)) & 1).astype(bool)
+            of = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), ids.take(pa.array(row + of))], names=["token", "node"])
+
+
 def _against_all(nodes: DataFrame, short: DataFrame, size: int, t: float) -> DataFrame | None:
-    """The exact way for sets whose segments reach no guarantee: blocks of them against all rows."""
-    edges = None
-    pending = [r.node for r in short.orderBy("node").toLocalIterator()]
-    for start in range(0, len(pending), 500):
-        block = pending[start : start + 500]
-        rows = nodes.filter(F.col("node").isin(block)).dropDuplicates(["node"]).collect()
-        sets = {}
-        for r in rows:
-            for _, tokens, _ in K.shingle_sets(pa.array([r.text], pa.string()), size):
-                sets[r.node] = tokens
-
-        def scan(batches, sets=sets):
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for row, tokens, offsets in K.shingle_sets(batch.column(1), size):
-                    hits = [(n, int(ids[row + i])) for i in range(len(offsets) - 1) for n, s in sets.items() if n != ids[row + i] and K.jaccard(s, tokens[offsets[i] : offsets[i + 1]]) >= t - 1e-12]
-                    if hits:
-                        yield pa.RecordBatch.from_pydict({"a": pa.array([min(h) for h in hits], pa.int64()), "b": pa.array([max(h) for h in hits], pa.int64())})
-
-        found = nodes.select("node", "text").mapInArrow(scan, "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+    """Candidates ``a, b`` of the sets whose segments reach no guarantee, against all rows: similar sets share one of their first tokens in hash order.
+
+    The tokens of the short sets are a table; a bitmap of them (2 MB whatever their
+    number) keeps other tokens out of the scan of all rows, and the rest is joined.
+    """
+    if short.limit(1).count() == 0:
+        return None
+    chosen = nodes.join(short, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    queried = cut(chosen.mapInArrow(lambda it: _prefix_rows(it, size, t, None), "token long, node long"))
+    slot = F.shiftrightunsigned("token", 40)
+    maps = queried.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
+    allowed = np.zeros(1 << 21, np.uint8)
+    for r in maps.toLocalIterator():
+        allowed[r.page * 4096 : r.page * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
+    others = nodes.select("node", "text").mapInArrow(lambda it: _prefix_rows(it, size, t, allowed), "token long, node long").distinct()
+    met = block_join(others.withColumnRenamed("node", "x"), queried.withColumnRenamed("node", "y"), "token").filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
@@ -472,7 +481,7 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
     signer = _Signer(threshold, hot, counts)
     buckets = min(1 << 24, max(8, math.ceil(total * 0.75 / BUCKET_SIGNATURES)))
     parts = 1 + documents // 100_000
-    rows = nodes.select("node", "text").mapInArrow(lambda it: _signature_rows(it, signer, size, buckets), "bucket int, node long, size int, sigs binary, cells binary")
+    rows = nodes.select("node", "text").mapInArrow(lambda it: _signature_rows(it, signer, size, buckets), "bucket int, node long, size int, sigs binary")
     met = cut(
         rows.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(0))
         .groupBy("bucket", "part")
@@ -481,19 +490,26 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
     runs = met.filter("kind between 1 and 4").select("a", "b", F.shiftright("size", 2).alias("size"), F.col("size").bitwiseAND(3).alias("need"), ((F.col("kind") - 1).bitwiseAND(1) > 0).alias("picked"), ((F.col("kind") - 1).bitwiseAND(2) > 0).alias("own")).distinct()
     # A signature that nobody picked finds nothing.
     runs = runs.join(runs.filter("picked").select("a").distinct(), "a", "left_semi")
-    x, y = runs.alias("x"), runs.alias("y")
-    large = F.greatest("x.size", "y.size")
+    # Members of a signature are cut into blocks, and blocks are paired, so no task holds a hot one.
+    blocks = runs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("blocks"))
+    spread = cut(runs.join(blocks, "a").withColumn("own_block", F.pmod(F.xxhash64("b", "size", "picked", "own"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    x = spread.select("a", F.col("own_block").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"x_{c}") for c in ("b", "size", "need", "picked", "own")))
+    y = spread.select("a", F.col("other").alias("i"), F.col("own_block").alias("j"), *(F.col(c).alias(f"y_{c}") for c in ("b", "size", "need", "picked", "own")))
+    large = F.greatest("x_size", "y_size")
     long_pairs = (
-        x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
-        .filter((F.col("x.own") | F.col("y.own")) & (F.least("x.size", "y.size") >= threshold * large - 1e-9))
-        .filter((F.col("x.picked") & (F.col("x.size") == large)) | (F.col("y.picked") & (F.col("y.size") == large)))
-        .select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(1).alias("times"), F.least("x.need", "y.need").alias("need"))
+        x.join(y, ["a", "i", "j"])
+        .filter("x_b < y_b")
+        .filter((F.col("x_own") | F.col("y_own")) & (F.least("x_size", "y_size") >= threshold * large - 1e-9))
+        .filter((F.col("x_picked") & (F.col("x_size") == large)) | (F.col("y_picked") & (F.col("y_size") == large)))
+        .select(F.col("x_b").alias("a"), F.col("y_b").alias("b"), F.lit(1).alias("times"), F.least("x_need", "y_need").alias("need"))
     )
     meetings = met.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.shiftright("size", 2).alias("times"), F.col("size").bitwiseAND(3).alias("need")).unionByName(long_pairs)
     # Of H + c picks at most H can miss, so a pair meets c times at least.
     pairs = cut(meetings.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need").select("a", "b"))
-    if buckets > CARRIED:
-        pairs = _thinned(nodes, pairs, size, threshold)
+    pairs = _thinned(nodes, pairs, size, threshold)
+    extra = _against_all(nodes, met.filter("kind = 9").select(F.col("b").alias("node")).distinct(), size, threshold)
+    if extra is not None:
+        pairs = cut(pairs.unionByName(extra).distinct())
     members = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     texts = within(nodes.select("node", "text"), "node", members, 2 * pairs.count()).groupBy("node").agg(F.first("text").alias("text"))
     joined = (
@@ -501,12 +517,7 @@ def similar_texts(nodes: DataFrame, threshold: float = 0.8, size: int = 5) -> Da
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    edges = joined.mapInArrow(lambda it: _verify(it, size, threshold), "a long, b long, similarity double")
-    short = met.filter("kind = 9").select(F.col("b").alias("node")).distinct()
-    extra = _against_all(nodes, short, size, threshold)
-    if extra is not None:
-        edges = edges.unionByName(extra.withColumn("similarity", F.lit(None).cast("double"))).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    return edges
+    return joined.mapInArrow(lambda it: _verify(it, size, threshold), "a long, b long, similarity double")
 
 
 def _short_rows(table: pa.Table) -> pa.Table:
@@ -527,7 +538,7 @@ def near_duplicate_groups(documents: DataFrame, id_column: str = "document_id",
     nodes = spoken.select(F.xxhash64("text").alias("node"), "text")
     edges = cut(similar_texts(nodes, threshold, size))
     roots = components(edges)
-    member = base.select("_id", F.when(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.xxhash64("text")).alias("node")).distinct()
+    member = cut(base.select("_id", F.when(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.xxhash64("text")).alias("node")).distinct())
     copies = member.filter("node is not null").groupBy("node").agg(F.countDistinct("_id").alias("copies"))
     near = (
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
@@ -540,6 +551,5 @@ def near_duplicate_groups(documents: DataFrame, id_column: str = "document_id",
 
 def group_pairs(groups: DataFrame, id_column: str = "document_id") -> DataFrame:
     """``document_a, document_b`` of every two documents of one group."""
-    shared = groups.filter("links > 0 or class_id <> " + id_column).select("class_id", id_column)
-    a, b = shared.withColumnRenamed(id_column, "document_a"), shared.withColumnRenamed(id_column, "document_b")
-    return a.join(b, "class_id").filter("document_a < document_b").select("document_a", "document_b").distinct()
+    shared = groups.filter("links > 0 or class_id <> " + id_column)
+    return class_pairs(shared, "class_id", id_column).select(F.col("a").alias("document_a"), F.col("b").alias("document_b"))

@@ -80,22 +80,27 @@ def _pack(table: pa.Table, capacity: int, most_sources: int | None) -> pa.Table:
     return pa.Table.from_pydict(cols)
 
 
-def items(documents: DataFrame, capacity: int, vocabulary: str = T.VOCABULARY, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source", cluster_column: str | None = None) -> DataFrame:
+def items(documents: DataFrame, capacity: int, vocabulary: str = T.VOCABULARY, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source", clusters: DataFrame | None = None) -> DataFrame:
     """``doc_id, piece, start_token, tokens, cluster, source``: texts, cut only where they alone exceed the capacity.
 
-    Without a cluster column the copies of a text (blanks and case aside) are a
-    cluster; null sources count as one source.
+    clusters: ``doc_id, class_id`` of near-duplicate groups; without them, and for texts
+    they do not name, the copies of a text (blanks and case aside) are a cluster.  Null
+    sources count as one source.
     """
     folded = F.lower(F.regexp_replace(F.trim(text_column), r"\s+", " "))
     base = documents.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(text_column).alias("_text"),
-        (F.xxhash64(F.col(cluster_column)) if cluster_column else F.xxhash64(folded)).alias("cluster"),
+        F.xxhash64(folded).alias("cluster"),
         (F.hash(F.coalesce(F.col(source_column), F.lit(""))) if source_column else F.lit(0)).alias("source"),
     ).filter("doc_id is not null and _text is not null and _text <> ''")
     sized = T.counted(base, "_text", vocabulary, ["doc_id", "cluster", "source"]).filter("tokens > 0")
     # A row delivered twice counts once.
     sized = sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "cluster", "source")).alias("r")).select("doc_id", "r.*")
+    if clusters is not None:
+        # What is joined are sizes, not texts.
+        groups = clusters.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("class_id").alias("class")).distinct()
+        sized = sized.join(groups, "doc_id", "left").withColumn("cluster", F.coalesce("class", "cluster")).drop("class")
     whole = F.sequence(F.lit(0), ((F.col("tokens") - 1) / capacity).cast("int"))
     return sized.select("doc_id", F.explode(whole).alias("piece"), "tokens", "cluster", "source").select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece").cast("long") * capacity).alias("tokens"), "cluster", "source"

@@ -114,7 +114,10 @@ def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.items(text_table(spark, sf_dir, "documents"), 4096), 4096)
+    """No two near-duplicates and at most six sources in one container."""
+    documents = text_table(spark, sf_dir, "documents")
+    groups = near_duplicates.near_duplicate_groups(documents, "doc_id", "text")
+    return packing.pack(packing.items(documents, 4096, clusters=groups), 4096, most_sources=6)
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

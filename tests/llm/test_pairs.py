@@ -129,7 +129,6 @@ def test_hot_signatures_lose_no_link(spark, monkeypatch):
 
 def test_many_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(N, "BUCKET_SIGNATURES", 50)
-    monkeypatch.setattr(N, "CARRIED", 4)
     rows = corpus(22) + EDGE
     sets = {i: shingle_set(t) for i, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.7]
@@ -137,6 +136,35 @@ def test_many_buckets_lose_no_link(spark, monkeypatch):
     assert {r.document_id: r.links for r in got} == {i: sum(i in x for x in links) for i in sets}
 
 
+def test_sets_without_a_guarantee_go_against_all(spark):
+    rows = corpus(23)
+    nodes = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows) if t and t.strip()], "node long, text string")
+    short = nodes.filter("node % 2 = 0").select("node")
+    got = {(r.a, r.b) for r in N._against_all(nodes, short, 5, 0.7).collect()}
+    sets = {r.node: shingle_set(r.text) for r in nodes.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and (a % 2 == 0 or b % 2 == 0) and similarity(sets[a], sets[b]) >= 0.7}
+    assert want and want <= got
+    assert N._against_all(nodes, short.limit(0), 5, 0.7) is None
+
+
+def test_block_count_follows_the_threshold():
+    for t in (0.3, 0.5, 0.7, 0.9):
+        assert (1 - t**C.LANES_A_BLOCK) ** C.block_count(t) <= C.MISS
+    with pytest.raises(ValueError):
+        C.block_count(0.1)
+
+
+def test_hot_keys_are_joined_in_parts(spark):
+    from clausemill.llm.components import block_join, class_pairs
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("one", 7), ("alone", 8)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(20)] + [("one", 3), ("other", 4)], "k string, b int")
+    got = [tuple(r) for r in block_join(left, right, "k", 6).select("k", "a", "b").collect()]
+    assert len(got) == len(set(got)) == 1001 and ("one", 7, 3) in got
+    pairs = [(r.a, r.b) for r in class_pairs(left, "k", "a", 6).collect()]
+    assert sorted(pairs) == [(a, b) for a in range(50) for b in range(a + 1, 50)]
+
+
 def test_empty_and_threshold(spark):
     empty = spark.createDataFrame([], "document_id string, normalized_text string")
     assert N.near_duplicate_groups(empty).count() == 0
@@ -246,6 +274,6 @@ def test_codes_follow_similarity():
     a = K.mix(np.arange(1, 301, dtype=np.uint64))
     b = K.mix(np.arange(53, 353, dtype=np.uint64))  # 248 of 352 shared: 0.70
     c = K.mix(np.arange(1000, 1300, dtype=np.uint64))
-    x = C.codes(np.concatenate([np.sort(a), np.sort(b), np.sort(c)]), np.array([0, 300, 600, 900]))
+    x = C.codes(np.concatenate([np.sort(a), np.sort(b), np.sort(c)]), np.array([0, 300, 600, 900]), C.block_count(0.70) * C.LANES_A_BLOCK)
     bits = lambda p, q: int(np.bitwise_count(x[p] ^ x[q]).sum())
     assert bits(0, 1) <= C.radius(0.70) < bits(0, 2)
