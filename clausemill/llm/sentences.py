@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from clausemill.session import cut
+
 #: Bound of the sample the weights are fitted on: documents of least hash of the id, and places of each label taken from it.
 TRAINING_DOCUMENTS = 4000
 #: Share of all counted places below which a token counts as unknown; so at most 1 / RARE tokens are held.
@@ -548,15 +550,15 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     out = []
     for start, end in _paragraphs(text):
         low = start
-        for cut in [*_paragraph(text, start, end, model), end]:
-            high = cut
+        for stop in [*_paragraph(text, start, end, model), end]:
+            high = stop
             while low < high and text[low].isspace():
                 low += 1
             while high > low and text[high - 1].isspace():
                 high -= 1
             if low < high:
                 out.append((low, high))
-            low = cut
+            low = stop
     return out
 
 
@@ -582,7 +584,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counts(documents: DataFrame, text_column: str = "text") -> tuple[dict[str, list[int]], dict[str, list[int]]]:
     """Token counts over all documents, without the tokens below ``RARE`` of their sort."""
     rows = documents.select(F.col(text_column).alias("text")).filter(F.length(F.trim("text")) > 0).mapInArrow(_count_rows, "point boolean, token string, x long, y long, z long")
-    summed = rows.groupBy("point", "token").agg(*(F.sum(c).alias(c) for c in "xyz"))
+    summed = cut(rows.groupBy("point", "token").agg(*(F.sum(c).alias(c) for c in "xyz")))
     size = F.when(F.col("point"), F.col("x")).otherwise(F.col("x") + F.col("y"))
     all_of = summed.groupBy("point").agg(F.sum(size).alias("all"))
     kept = summed.join(F.broadcast(all_of), "point").filter(size >= F.col("all") * RARE).drop("all").toArrow().to_pylist()
