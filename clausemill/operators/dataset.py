@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from clausemill.functions import canonical, text as T
+from clausemill.operators import documents as O
 
 # Kinds of record, in canonical order.
 SUBSETS = ("raw_domain_text", "structured_extraction", "evidence_conversation", "refusal_uncertainty", "multi_turn", "preference_pairs")
@@ -144,14 +147,26 @@ def naming_blocked(records: DataFrame, config: DataFrame) -> DataFrame:
     return records.join(named, "record_id", "left_semi")
 
 
-def checksums(records: DataFrame, columns: list[str]) -> DataFrame:
-    """``subset, records, sha256``: hash over each subset's records in order of their ids.
+#: Hash buckets of record ids whose hashes are taken before those of subsets.
+BUCKETS = 4096
+
+
+def checksums(records: DataFrame, columns: list[str], whole: str = "*") -> DataFrame:
+    """``subset, records, sha256``: hash over each subset's records, and over all of them (subset ``whole``).
 
-    Each record is hashed first; what is ordered per subset is 64 characters a row.
+    Records are hashed first, then the records of a bucket of ids in order of their ids,
+    then the buckets in their order: what is gathered in one row is one bucket of 64
+    characters a record, and then at most ``BUCKETS`` hashes.
     """
-    hashed = records.select("subset", "record_id", canonical.json_sha256(F.to_json(F.struct(*columns))).alias("h")).distinct()
-    ordered = F.array_sort(F.collect_list(F.struct("record_id", "h")))
-    return hashed.groupBy("subset").agg(F.count(F.lit(1)).alias("records"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ","), 256).alias("sha256"))
+    hashed = records.select("subset", "record_id", canonical.json_sha256(F.to_json(F.struct(*columns))).alias("h")).distinct().withColumn("bucket", F.pmod(F.conv(F.substring(F.sha2("record_id", 256), 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)))
+    inner = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "h"))), lambda x: x["h"]), ","), 256)
+    outer = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ","), 256)
+
+    def total(rows: DataFrame) -> DataFrame:
+        buckets = rows.groupBy("subset", "bucket").agg(F.count(F.lit(1)).alias("n"), inner.alias("h"))
+        return buckets.groupBy("subset").agg(F.sum("n").alias("records"), outer.alias("sha256"))
+
+    return total(hashed).unionByName(total(hashed.withColumn("subset", F.lit(whole))))
 
 
 def verify_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -159,20 +174,64 @@ def verify_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
     return found.select("subset", F.col("sha256").alias("found")).join(expected.select("subset", F.col("sha256").alias("expected")), "subset", "full_outer").filter(~F.col("found").eqNullSafe(F.col("expected")))
 
 
-def issues(records: DataFrame) -> DataFrame:
-    """``code, record_id, message``: everything wrong with the records, as rows."""
+def clause_text_failures(clauses: DataFrame) -> DataFrame:
+    """``record_id, clause_id``: clauses (record_id, clause_id, text, source) whose text does not stand in the source."""
+    return clauses.filter(F.col("source").isNull() | ~F.contains("source", "text")).select("record_id", "clause_id").distinct()
+
+
+def status_failures(records: DataFrame, document_types: list[str] | None = None) -> DataFrame:
+    """``code, record_id``: refusals that answer, preference pairs without a reason, extractions of a type outside the scope."""
+    codes = [F.when((F.col("subset") == "refusal_uncertainty") & (F.col("answer.status") == "answered"), "refusal_status")]
+    if "ranking_reason" in records.columns:
+        reason = F.coalesce(T.strip(F.col("ranking_reason")), F.lit(""))
+        codes.append(F.when((F.col("subset") == "preference_pairs") & (F.length(reason) == 0), "preference_rank"))
+    if document_types is not None:
+        codes.append(F.when((F.col("subset") == "structured_extraction") & ~F.coalesce(F.col("document_type").isin(*document_types), F.lit(False)), "document_type"))
+    return records.select("record_id", F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()
+
+
+def record_texts(records: DataFrame) -> DataFrame:
+    """``document_id`` (the record's id), ``family_id, normalized_text``: source texts in order of their documents, joined."""
+    joined = F.array_join(F.transform(F.array_sort(F.map_keys("source_texts")), lambda k: F.element_at("source_texts", k)), "\n")
+    return records.select(F.col("record_id").alias("document_id"), "family_id", joined.alias("normalized_text")).dropDuplicates(["document_id"])
+
+
+def duplicate_issues(records: DataFrame, threshold: float, size: int) -> DataFrame:
+    """``code, record_id, message``: records of the same text, and near-duplicates in other families."""
+    texts = record_texts(records)
+    exact = O.exact_duplicates(texts, checksum=F.sha2("normalized_text", 256)).select(F.lit("exact_duplicate").alias("code"), F.col("document_id").alias("record_id"), F.concat_ws(" duplicates ", "document_id", "duplicate_of").alias("message"))
+    near = O.cross_family(O.near_duplicates(texts, threshold, size), texts).select(
+        F.lit("near_duplicate_leakage").alias("code"), F.col("document_id").alias("record_id"), F.format_string("%s in family %s is a near-duplicate of %s in family %s", "document_id", "later_family", "near_duplicate_of", "earlier_family").alias("message")
+    )
+    return exact.unionByName(near)
+
+
+def quotes(children: list[Column]) -> Column:
+    """The texts of all spans of lists of things with ``evidence``, in order."""
+    return F.concat(*(F.flatten(F.transform(c, lambda x: F.transform(x["evidence"], lambda e: e["text"]))) for c in children))
+
+
+def issues(records: DataFrame, *, document_types: list[str] | None = None, clauses: DataFrame | None = None, threshold: float | None = None, size: int = 5) -> DataFrame:
+    """``code, record_id, message``: everything wrong with the records, as rows.
+
+    document_types: the scope of extractions; clauses: those of ``clause_text_failures``;
+    threshold: that of near-duplicates, which are looked for only where it is given.
+    """
+    none = F.lit(None).cast("string")
     parts = [
         duplicate_ids(records).select(F.lit("record_id").alias("code"), "record_id", F.format_string("delivered %d times", F.col("times")).alias("message")),
         evidence_failures(records).select(F.lit("evidence").alias("code"), "record_id", F.concat_ws(":", "ordinal", "failure").alias("message")),
         shape_violations(records).select(F.lit("source_texts").alias("code"), "record_id", F.format_string("%d missing, %d extra", F.col("missing"), F.col("extra")).alias("message")),
         turn_violations(records).select(F.lit("turns").alias("code"), "record_id", F.format_string("%d turns", F.col("turns")).alias("message")),
-        family_split_leakage(records).select(F.lit("family_split_leakage").alias("code"), F.lit(None).cast("string").alias("record_id"), F.concat_ws(": ", "family_id", "splits").alias("message")),
-        document_family_leakage(records).select(F.lit("document_family_leakage").alias("code"), F.lit(None).cast("string").alias("record_id"), F.concat_ws(": ", "document_id", "families").alias("message")),
+        status_failures(records, document_types).select("code", "record_id", F.lit("").alias("message")),
+        family_split_leakage(records).select(F.lit("family_split_leakage").alias("code"), none.alias("record_id"), F.concat_ws(": ", "family_id", "splits").alias("message")),
+        document_family_leakage(records).select(F.lit("document_family_leakage").alias("code"), none.alias("record_id"), F.concat_ws(": ", "document_id", "families").alias("message")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if clauses is not None:
+        parts.append(clause_text_failures(clauses).select(F.lit("clause_text").alias("code"), "record_id", F.col("clause_id").alias("message")))
+    if threshold is not None:
+        parts.append(duplicate_issues(records, threshold, size))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_report(found: DataFrame, codes: list[str]) -> DataFrame:

@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from clausemill.functions import text as T
 from clausemill.session import cut
 
 
-def segment(documents: DataFrame, id_column: str = "document_id", text_column: str = "normalized_text", normalize: bool = True) -> DataFrame:
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    """Where each line begins: the lengths of those before, and a line feed after each."""
+    return lengths.map(lambda x: None if x is None else np.concatenate(([0], np.cumsum(np.asarray(x, np.int64) + 1)[:-1])).astype(np.int32))
+
+
+def segment(documents: DataFrame, id_column: str = "document_id", text_column: str = "normalized_text", normalize: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
     """``document_id, block_id, kind, text, heading, start_char, end_char``: one block per line that is not blank.
 
-    Narrow: lines are exploded and their offsets are sums over the document's own
-    array, so no shuffle is needed.  Blank lines vanish; lines are joined by one
-    line feed; null and blank texts have no blocks.
+    Narrow: offsets are running sums of the line lengths of the document's own array,
+    linear in its lines, and what ``keep`` names is carried along, so nothing is
+    shuffled.  Blank lines vanish; lines are joined by one line feed; null and blank
+    texts have no blocks.
     """
+    keep = keep or {}
     flat = (T.normalize_whitespace if normalize else T.collapse_lines)(F.col(text_column))
     full = F.filter(F.split(flat, "\n"), lambda x: F.length(x) > 0)
-    rows = documents.select(F.col(id_column).alias("document_id"), full.alias("_lines")).filter(F.size("_lines") > 0)
-    # Running starts in one pass: each line adds its length and the line feed.
-    ends = F.aggregate("_lines", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x) + 1))
-    zipped = rows.select("document_id", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), F.slice(ends, 1, F.size("_lines")).alias("start"))).alias("i", "b"))
+    rows = documents.select(F.col(id_column).alias("document_id"), *(c.alias(n) for n, c in keep.items()), full.alias("_lines")).filter(F.size("_lines") > 0)
+    starts = _running(F.transform("_lines", lambda x: F.length(x)))
+    zipped = rows.select("document_id", *keep, F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), starts.alias("start"))).alias("i", "b"))
     kind = T.classify_line(F.col("b.line"))
     return zipped.select(
         "document_id",
+        *keep,
         F.format_string("block-%04d", F.col("i") + 1).alias("block_id"),
         kind.alias("kind"),
         F.col("b.line").alias("text"),
@@ -65,34 +78,70 @@ def offset_violations(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.filter(there.isNull() | (there != F.col("text"))).select("document_id", "block_id", "start_char", "end_char").distinct()
 
 
-def exact_duplicates(documents: DataFrame, id_column: str = "document_id", text_column: str = "normalized_text", order: str | None = None) -> DataFrame:
-    """``document_id, duplicate_of``: later documents and the first of the same text.
+def exact_duplicates(documents: DataFrame, id_column: str = "document_id", checksum: Column | None = None, order: str | None = None) -> DataFrame:
+    """``document_id, duplicate_of``: later documents and the first of the same raw checksum.
 
-    The least id (or order) wins.  The first is found by an aggregate with partial
-    results, so a text that a third of all rows share needs no large window.
+    checksum: by default the manifest's (``source.sha256``); the hash of a text makes
+    copies of texts out of it.  The least id (or order) wins.  The first is found by an
+    aggregate with partial results; joining it back meets one row a checksum, so rows
+    of a hot one may be split over tasks as they come.
     """
-    key = order or id_column
-    rows = documents.select(F.col(id_column).alias("document_id"), F.col(key).alias("o"), F.sha2(text_column, 256).alias("sha")).filter("document_id is not null and sha is not null").distinct()
+    checksum = F.col("source.sha256") if checksum is None else checksum
+    rows = documents.select(F.col(id_column).alias("document_id"), F.col(order or id_column).alias("o"), checksum.alias("sha")).filter("document_id is not null and sha is not null").distinct()
     first = rows.groupBy("sha").agg(F.min(F.struct("o", "document_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rows.join(first, "sha").filter(F.col("document_id") != F.col("first.document_id")).select("document_id", F.col("first.document_id").alias("duplicate_of"))
 
 
+#: Tokens in at least this share of texts are common, and at most so many of them are held.
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 6, 200_000
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The common tokens, sorted, and in how many texts each is.  They only order the tokens of a set; any order is right."""
+    least = max(COMMON_LEAST, sets.count() * COMMON_SHARE)
+    counted = sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    found = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
+    tokens, counts = found.column("token").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, tokens: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, n, token) of the first n - ceil(t n) + 1 tokens of every set."""
+    for batch in batches:
+        nodes, sizes, out = [], [], []
+        for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = members.values.to_numpy(zero_copy_only=False)
+            n = len(x)
+            if not n:
+                continue
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+                often = np.where(tokens[at] == x, counts[at], 0)
+            else:
+                often = np.zeros(n, np.int64)
+            first = x[np.lexsort((x, often))[: ceil_prefix(n, threshold)]]
+            nodes.append(np.full(len(first), node))
+            sizes.append(np.full(len(first), n, np.int32))
+            out.append(first)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(out))], names=["node", "n", "token"])
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.85, size: int = 5, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
     """``document_id, near_duplicate_of, similarity``: pairs, the later id first, by an inverted index over prefixes.
 
-    Tokens are ordered from the rarest; two sets that reach the threshold share one
+    Tokens are ordered by hash, the common ones last, from the rarest; two sets that reach the threshold share one
     of their first n - ceil(t n) + 1 tokens, so only those are indexed, and the pairs
-    that meet are verified on the whole sets.  Copies of a text are compared once.
+    that meet are verified on the whole sets.  Copies of a text are compared once, and
+    all blank texts are copies of one another.
     """
-    base = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null")
-    member = base.select("id", F.xxhash64("text").alias("node")).distinct()
-    sets = cut(base.select(F.xxhash64("text").alias("node"), T.shingle_hashes(F.col("text"), size).alias("set")).dropDuplicates(["node"]))
-    spread = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("token"))
-    often = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # Tokens of one text only meet nobody; they still count for the prefix, and stand first.
-    ranked = spread.join(often, "token", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("order"))
-    head = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    prefix = ranked.select("node", "n", F.explode(head).alias("p")).filter("p.df > 1").select("node", "n", F.col("p.token").alias("token"))
+    node = F.when(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    base = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null and text is not null").withColumn("node", node)
+    member = base.select("id", "node").distinct()
+    sets = cut(base.select("node", T.shingle_hashes(F.col("text"), size).alias("set")).dropDuplicates(["node"]))
+    rare, common = _common(sets)
+    prefix = cut(sets.mapInArrow(lambda it: _prefixes(it, threshold, rare, common), "node long, n int, token long"))
     a, b = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "token")
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")

@@ -111,4 +111,29 @@ def missing_candidates(expected: DataFrame, runs: DataFrame) -> DataFrame:
 
 def matrix(candidates: DataFrame, comparisons: DataFrame) -> DataFrame:
     """Candidate and comparison of every configured run (comparisons: comparison_id, candidate_ids)."""
-    return comparisons.select("comparison_id", F.explode("candidate_ids").alias("candidate_id")).join(F.broadcast(candidates.select("candidate_id").distinct()), "candidate_id")
+    return comparisons.select("comparison_id", F.explode("candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id").distinct(), "candidate_id")
+
+
+# What the dominant failure of the best practical candidate suggests.
+HYPOTHESES = {
+    "prompt_error": "output is not JSON: train the output format",
+    "parse_error": "constrained output is not JSON: train the output format",
+    "validation_error": "JSON breaks the schema: train on schema-valid records",
+    "retrieval_error": "evidence is missing from the context: mend retrieval before training",
+    "model_error": "valid output is wrong: train on labelled records",
+    "correct": "no failures: nothing to train for",
+}
+
+
+def hypothesis(ranked: DataFrame, dominant: DataFrame) -> DataFrame:
+    """``candidate_id, dominant_error, hypothesis`` of the first practical candidate (no row without one)."""
+    best = ranked.filter("practical").orderBy("place").limit(1).select("candidate_id")
+    said = F.create_map(*(F.lit(x) for pair in HYPOTHESES.items() for x in pair))
+    return best.join(dominant, "candidate_id").select("candidate_id", "dominant_error", F.element_at(said, F.col("dominant_error")).alias("hypothesis"))
+
+
+def extraction_scores(predicted: Column, gold: Column) -> Column:
+    """F1 of the label sets of two extractions."""
+    from clausemill.operators.metrics import set_scores
+
+    return set_scores(extraction_labels(predicted), extraction_labels(gold))[2]

@@ -29,7 +29,7 @@ def process(spark: SparkSession, manifest: DataFrame, folder: str, *, allowed: l
     texts = blocks.groupBy("document_id").agg(ordered.alias("b")).select("document_id", joined.alias("normalized_text"))
     codes = redacted.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "codes"))).alias("c")).select("document_id", F.array_distinct(F.flatten("c.codes")).alias("redaction_codes"))
     base = cut(todo.join(texts, "document_id").join(codes, "document_id"))
-    exact = O.exact_duplicates(base, order="ordinal" if "ordinal" in base.columns else None)
+    exact = O.exact_duplicates(base, checksum=F.col("sha256"), order="ordinal" if "ordinal" in base.columns else None)
     near = O.near_duplicates(base, threshold, size).groupBy("document_id").agg(F.array_sort(F.collect_set("near_duplicate_of")).alias("near_duplicate_of"))
     documents = base.join(exact, "document_id", "left").join(near, "document_id", "left").withColumn("near_duplicate_of", F.coalesce("near_duplicate_of", F.array().cast("array<string>")))
     failed = pages.filter("error is not null").select("document_id", "error").distinct()

@@ -5,6 +5,7 @@ Files come as ``binaryFile`` rows.  Problems are rows with an error, never excep
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -12,10 +13,11 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+
+from clausemill.sources.manifests import system_of
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Paragraph styles that become headings.
@@ -115,33 +117,96 @@ def read_pages(path: str, payload: bytes, media_type: str | None) -> list[str]:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, name, length, content, sha256`` of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content", F.sha2("content", 256).alias("sha256"))
+    """``path, relative, length`` of the files below a folder, empty ones too; no content is read.
+
+    The folder's own entries are listed here, each folder in it by a worker.
+    """
+    scheme = folder.split("://", 1)[0] + "://" if "://" in folder and not folder.startswith("file:") else "file:"
+    system, root = system_of(folder.rstrip("/"))
+    top = system.get_file_info(pafs.FileSelector(root))
+    schema = "path string, relative string, length long"
+    cut_off = len(root.rstrip("/")) + 1
+    row = lambda f: (scheme + f.path, f.path[cut_off:], f.size)
+    files = spark.createDataFrame([row(f) for f in top if f.type == pafs.FileType.File], schema)
+    folders = [f.path for f in top if f.type == pafs.FileType.Directory]
+    if not folders:
+        return files
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for inner in batch.column(0).to_pylist():
+                own, path = system_of(scheme + inner)
+                found = [f for f in own.get_file_info(pafs.FileSelector(path, recursive=True)) if f.type == pafs.FileType.File]
+                yield pa.RecordBatch.from_arrays([pa.array([scheme + f.path for f in found], pa.string()), pa.array([f.path[cut_off:] for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], names=["path", "relative", "length"])
+
+    tasks = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, min(len(folders), spark.sparkContext.defaultParallelism)))
+    return files.unionByName(tasks.mapInArrow(below, schema))
+
+
+def placed(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows with ``path, length`` of their file: the one below ``document_id``, else at the local path, else the only one of the name.
+
+    Each way is an equi-join on a key that names one file, so folders full of files of
+    one name cost no more than others.
+    """
+    name = F.element_at(F.split("local_path", "/"), -1)
+    parts = F.split("relative", "/")
+    deep = files.filter(F.size(parts) > 1).select(F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)).alias("own_key"), F.struct("path", "length").alias("own")).groupBy("own_key").agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    exact = files.select(F.col("relative").alias("relative_key"), F.struct("path", "length").alias("exact"))
+    single = files.select(F.element_at(parts, -1).alias("name_key"), F.struct("path", "length").alias("single")).groupBy("name_key").agg(F.min("single").alias("single"), F.count(F.lit(1)).alias("named"))
+    inner = F.regexp_replace("local_path", "^[^/]+/", "")
+    rows = (
+        manifest.withColumn("_name", name)
+        .join(deep, F.col("own_key") == F.concat_ws("/", "document_id", "_name"), "left")
+        .join(exact, F.col("relative_key") == F.col("local_path"), "left")
+        .join(exact.select(F.col("relative_key").alias("inner_key"), F.col("exact").alias("inner_")), F.col("inner_key") == inner, "left")
+        .join(single, F.col("name_key") == F.col("_name"), "left")
+    )
+    found = F.coalesce("own", "exact", "inner_", F.when(F.col("named") == 1, F.col("single")))
+    return rows.withColumn("_file", found).withColumn("_many", F.col("_file").isNull() & (F.col("named") > 1)).select(*manifest.columns, "_file.path", "_file.length", F.coalesce("_many", F.lit(False)).alias("_many"))
 
 
 def acquire(manifest: DataFrame, files: DataFrame, allowed: list[str], max_bytes: int) -> DataFrame:
-    """Manifest rows with their file and the first thing wrong with it (``error``, null where good)."""
-    named = manifest.withColumn("name", F.element_at(F.split("local_path", "/"), -1))
-    both = named.join(files.select("name", "path", "length", "content", F.col("sha256").alias("found_sha256")), "name", "left")
-    both = both.withColumn("sniffed", _sniffed("path", "content"))
+    """Manifest rows with their file, ``content`` and the first thing wrong with it (``error``, null where good).
+
+    Names and lengths are checked first; only files that pass are opened, by the worker
+    that checks their hash and type.
+    """
     error = (
-        F.when(F.col("path").isNull(), "file_missing")
+        F.when(F.col("_many"), "file_ambiguous")
+        .when(F.col("path").isNull(), "file_missing")
         .when(F.col("length") == 0, "file_empty")
         .when(F.col("length") > max_bytes, "file_too_large")
-        .when(F.col("sha256").isNotNull() & (F.col("sha256") != F.col("found_sha256")), "checksum_differs")
-        .when(F.col("sniffed").isNull() | (F.col("sniffed") != F.col("media_type")), "media_type_differs")
-        .when(~F.col("media_type").isin(*allowed), "media_type_not_allowed")
     )
-    return both.withColumn("error", error)
+    checked = placed(manifest, files).withColumn("early", error).drop("_many").repartition("document_id")
+    names = checked.columns
+    columns = [c for c in names if c != "early"]
+    places = [names.index(c) for c in columns]
+    at = {c: names.index(c) for c in ("path", "early", "sha256", "media_type")}
 
-
-def _sniffed(path: str, content: str):
-    @F.pandas_udf(StringType())
-    def of(paths: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else sniff(p, bytes(c)) for p, c in zip(paths, heads, strict=True)])
-
-    return of(F.col(path), F.col(content))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                path, early, sha, kind = (row.column(at[c])[0].as_py() for c in ("path", "early", "sha256", "media_type"))
+                content = found = sniffed = None
+                if early is None:
+                    system, inner = system_of(path)
+                    with system.open_input_stream(inner) as f:
+                        content = f.read()
+                    found, sniffed = hashlib.sha256(content).hexdigest(), sniff(path, content)
+                    if sha is not None and sha != found:
+                        early = "checksum_differs"
+                    elif sniffed is None or sniffed != kind:
+                        early = "media_type_differs"
+                    elif kind not in allowed:
+                        early = "media_type_not_allowed"
+                extra = [pa.array([content if early is None else None], pa.binary()), pa.array([found]).cast(pa.string()), pa.array([sniffed]).cast(pa.string()), pa.array([early]).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*(row.column(j) for j in places), *extra], names=[*columns, "content", "found_sha256", "sniffed", "error"])
+
+    types = dict(checked.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", content binary, found_sha256 string, sniffed string, error string"
+    return checked.mapInArrow(read, schema)
 
 
 def pages(acquired: DataFrame) -> DataFrame:

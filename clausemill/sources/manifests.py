@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -40,13 +44,39 @@ def entry(entries: DataFrame, document_id: str):
     return row
 
 
+# Kinds of record.
+SUBSETS = ("raw_domain_text", "structured_extraction", "evidence_conversation", "refusal_uncertainty", "multi_turn", "preference_pairs")
+
+
+def system_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address (local, hdfs, s3, gs), and the path in it."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(target)
+
+
+def read_text(path: str) -> str:
+    """A small file, on the driver."""
+    system, inner = system_of(path)
+    with system.open_input_stream(inner) as f:
+        return f.read().decode("utf-8")
+
+
 def records(spark: SparkSession, root: str) -> DataFrame:
-    """Records of a folder of JSON files, one each, in order of their paths (``ordinal``).
+    """Records of a folder of JSON files, one each (or a list of them), with ``path`` and ``ordinal``, which grows with the paths.
 
-    An unknown subset or a file that is no JSON object fails the scan.
+    An unknown subset or a file that is no JSON fails the scan; a folder without any JSON file is an error.
     """
     frame = spark.read.schema(RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("mode", "FAILFAST").json(root)
-    return frame.withColumn("path", F.col("_metadata.file_path"))
+    if not frame.inputFiles():
+        raise FileNotFoundError(f"no record files below {root}")
+    known = F.when(F.col("subset").isin(*SUBSETS), F.col("subset")).otherwise(F.raise_error(F.concat(F.lit("unknown subset "), F.coalesce("subset", F.lit("null")))).cast("string"))
+    return frame.withColumn("subset", known).withColumn("path", F.col("_metadata.file_path")).orderBy("path").withColumn("ordinal", F.monotonically_increasing_id())
 
 
 def subset_records(frame: DataFrame, subset: str) -> DataFrame:
@@ -54,23 +84,44 @@ def subset_records(frame: DataFrame, subset: str) -> DataFrame:
 
 
 def checkpoint_rows(spark: SparkSession, path: str, key: str = "record_id") -> DataFrame:
-    """The last row of each key of a JSON-lines log; an absent file is an empty log, blank lines are skipped."""
-    if "://" not in path and not os.path.exists(path):
+    """``key, line``: the last row of each key of a JSON-lines log; an absent log is empty, blank lines are skipped.
+
+    Rows of ``append_rows`` go by batch and place within it; of other files the later
+    one counts, then the later line.
+    """
+    if not exists(spark, path):
         return spark.createDataFrame([], f"{key} string, line string")
-    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).filter(F.trim("value") != "")
-    rows = text.withColumn(key, F.get_json_object("value", f"$.{key}"))
-    return rows.groupBy(key).agg(F.max_by("value", F.struct("block", "at")).alias("line"))
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).alias("batch"), F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    rows = text.filter(F.trim("value") != "").withColumn(key, F.get_json_object("value", f"$.{key}"))
+    numbered = F.coalesce(F.when(F.col("batch") != "", F.col("batch").cast("long")), F.lit(-1))
+    place = F.coalesce(F.get_json_object("value", "$._row").cast("long"), F.lit(-1))
+    order = F.struct(numbered.alias("batch"), F.when(numbered < 0, F.col("time")).alias("time"), place.alias("row"), "file", "block", "at")
+    return rows.groupBy(key).agg(F.max_by("value", order).alias("line"))
 
 
 def scripted_outputs(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, output`` of a JSON object of strings; an empty one is an error."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(read_text(path))
     if not isinstance(found, dict) or not found or not all(isinstance(v, str) for v in found.values()):
         raise ValueError("scripted outputs must be a non-empty JSON object of strings")
     return spark.createDataFrame(sorted(found.items()), "record_id string, output string")
 
 
+def ranked_fixture(spark: SparkSession, path: str) -> DataFrame:
+    """``ordinal, relevant`` of the ``predictions`` of a ranked fixture, in their order."""
+    whole = spark.read.schema("predictions array<struct<relevant: boolean>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return whole.select(F.posexplode("predictions").alias("ordinal", "p")).select("ordinal", "p.relevant")
+
+
+def runs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """One row a run file, with ``ordinal``, the place of its path in the list."""
+    frame = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
+    order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "name string, ordinal int")
+    return frame.withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(order, "name").drop("name")
+
+
 def reviews(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, review_status, notes`` of a review file; the last row of an id wins."""
     whole = spark.read.schema("samples array<struct<record_id: string, review_status: string, notes: string>>").option("multiLine", True).json(path)
@@ -85,8 +136,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def config(path: str) -> dict:
     """A small JSON configuration, on the driver."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(read_text(path))
     if not isinstance(found, dict):
         raise ValueError("a configuration is a JSON object")
     return found
@@ -100,9 +150,32 @@ def write_json(path: str, value: dict) -> None:
     os.replace(path + ".partial", path)
 
 
-def append_rows(frame: DataFrame, path: str) -> None:
-    """Append rows to a JSON-lines log (a folder of parts)."""
-    frame.write.mode("append").json(path)
+def append_rows(frame: DataFrame, path: str) -> int:
+    """Append rows to a JSON-lines log as its next batch (a folder of parts); the batch's number.
+
+    Rows keep their order in ``_row``; a batch is a folder of its own, so readers tell
+    what came later without any clock.
+    """
+    spark = frame.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    system = root.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    number = 1 + max((int(n[6:]) for n in names if re.fullmatch(r"batch=\d+", n)), default=0)
+    frame.withColumn("_row", F.monotonically_increasing_id()).write.json(f"{path}/batch={number:010d}")
+    return number
+
+
+def write_objects(frame: DataFrame, path: str, name: str | None = None) -> None:
+    """Rows as JSON files, one a partition: a list of objects, or an object with the list under ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for batch in batches for x in batch.column(0).to_pylist()]
+        if rows:
+            text = "[" + ",".join(rows) + "]"
+            yield pa.RecordBatch.from_arrays([pa.array([f'{{"{name}":{text}}}' if name else text])], names=["value"])
+
+    frame.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def export_schemas(folder: str) -> list[str]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests_support import RECORD, record
 
-from clausemill.operators import dataset as D, documents as O, metrics as M, retrieval as R, runs as X
+from clausemill.operators import dataset as D, documents as O, metrics as M, regression as G, retrieval as R, runs as X, validators as V
 
 
 def rows(frame):
@@ -34,12 +34,62 @@ def test_segment_pages(spark):
 
 def test_duplicates(spark):
     docs = spark.createDataFrame([("a", "one two three four five six"), ("b", "one two three four five seven"), ("c", "one two three four five six"), ("d", None), ("e", "")], "document_id string, normalized_text string")
-    assert rows(O.exact_duplicates(docs)) == [("c", "a")]
+    assert rows(O.exact_duplicates(docs, checksum=F.sha2("normalized_text", 256))) == [("c", "a")]
     pairs = {(r.document_id, r.near_duplicate_of) for r in O.near_duplicates(docs, 0.3, 3).collect()}
     assert pairs == {("b", "a"), ("c", "a"), ("c", "b")}
     assert O.ceil_prefix(10, 0.85) == 2
 
 
+def test_exact_duplicates_go_by_the_raw_checksum(spark):
+    docs = spark.createDataFrame([("a", "same text", ("x",)), ("b", "same text", ("y",)), ("c", "other", ("x",)), ("d", "none", (None,))], "document_id string, normalized_text string, source struct<sha256: string>")
+    assert rows(O.exact_duplicates(docs)) == [("c", "a")]
+
+
+def test_blank_texts_are_alike(spark):
+    docs = spark.createDataFrame([("a", ""), ("b", " "), ("c", "\n"), ("d", "word"), ("e", None)], "document_id string, normalized_text string")
+    assert rows(O.near_duplicates(docs, 0.85, 5)) == [("b", "a", 1.0), ("c", "a", 1.0), ("c", "b", 1.0)]
+
+
+def test_common_tokens_only_order(spark, monkeypatch):
+    import random
+
+    random.seed(9)
+    texts = [(f"d{i}", " ".join(["boiler"] * 3 + [random.choice("abcdefgh") for _ in range(random.randrange(4, 12))])) for i in range(40)]
+    docs = spark.createDataFrame(texts, "document_id string, normalized_text string")
+    want = rows(O.near_duplicates(docs, 0.5, 2))
+    monkeypatch.setattr(O, "COMMON_LEAST", 10**9)
+    assert want and rows(O.near_duplicates(docs, 0.5, 2)) == want
+
+
+def test_validators(spark):
+    pages = spark.createDataFrame([("a", 1, 2), ("b", None, 2), ("c", 3, 2), ("d", None, None)], "clause_id string, page_start int, page_end int")
+    assert rows(V.clause_page_violations(pages, ["clause_id"])) == [("b", "pages_unpaired"), ("c", "pages_reversed")]
+    duty = spark.createDataFrame([("a", "fixed_date", None, None, None, None, 1, "days"), ("b", "unstated", None, None, None, None, 1, None), ("c", "recurring", None, None, "monthly", None, None, None)], "id string, timing_type string, due_date string, relative_deadline string, recurrence string, trigger string, timing_value int, timing_unit string")
+    assert rows(V.obligation_violations(duty, ["id"])) == [("a", "timing_detail_missing"), ("b", "timing_unpaired")]
+    uses = spark.createDataFrame([("Official-Test", "fine-tuning"), (" test ", "reporting"), ("train", "fine-tuning")], "split string, purpose string")
+    assert rows(V.purpose_violations(uses)) == [("Official-Test", "fine-tuning")]
+    runs = spark.createDataFrame([("a", 2, 1, ["f1", "f1"], ["r"]), ("b", 1, 1, ["f1"], ["r", "r"])], "run_id string, started_at int, completed_at int, metric_names array<string>, record_ids array<string>")
+    assert rows(V.run_violations(runs)) == [("a", "ends_before_start"), ("a", "metric_repeated"), ("b", "record_repeated")]
+    pair = spark.createDataFrame([("a", "x", True, "y", "long enough"), ("b", "x", False, "x", "long enough"), ("c", "x", False, "y", " short  "), ("d", "x", False, "y", "long enough"), ("e", "x", False, "y", None)], "record_id string, preferred_text string, preferred_invented boolean, rejected_text string, ranking_reason string")
+    assert rows(V.preference_violations(pair)) == [("a", "preferred_invented"), ("b", "responses_equal"), ("c", "reason_missing"), ("e", "reason_missing")]
+
+
+def test_regression_suite(spark):
+    extractions = spark.createDataFrame([("p1", True, "f", "d1", "f", "amendment", "open_license", None, None, 0), ("p2", False, "f", None, None, None, None, None, None, 0), ("p3", True, "g", "d3", "f", "office", "public_domain", None, None, 0)], "path string, valid boolean, expected_family_id string, document_id string, family_id string, document_type string, rights_status string, rights_notes string, source_license string, effects int")
+    items = spark.createDataFrame([("d1", "party", "x", 0), ("d1", "clause", "y", 0), ("d3", "date", "z", 1)], "document_id string, kind string, label string, evidence int")
+    answers = spark.createDataFrame([("q1", True, "answered", "answered", 0), ("q2", True, "insufficient_evidence", "answered", 1)], "path string, valid boolean, status string, expected_status string, evidence int")
+    families = spark.createDataFrame([("f", ["d1", "d3"]), ("h", ["d9"])], "family_id string, member_document_ids array<string>")
+    found = G.failures(extractions, items, answers, families, spark.createDataFrame([("d1",)], "document_id string"))
+    assert rows(found) == [
+        ("agreement_family_splits", "h", "members_differ"), ("amendment_effects", "d1", "no_effects"), ("evaluation_holdout", "d3", "not_blocked"), ("grounded_answers_and_abstention", "q1", "answered_without_evidence"),
+        ("grounded_answers_and_abstention", "q2", "abstention_with_evidence"), ("grounded_answers_and_abstention", "q2", "status_differs"), ("required_evidence", "d1", "party x"), ("rights_and_training_gates", "d1", "licence_unnamed"),
+        ("schema_validity", "p2", "invalid"), ("schema_validity", "p3", "family_differs"),
+    ]
+    assert all(not r.passed for r in G.checks(found).collect()) and all(r.passed for r in G.checks(found.limit(0)).collect())
+    scores = {r.name: r.value for r in G.metrics(found.limit(0), items, items.filter("kind <> 'date'")).collect()}
+    assert scores == {"check_pass_rate": 1.0, "schema_validity": 1.0, "clause_label_f1": 1.0, "date_term_f1": 0.0, "monetary_term_f1": 1.0, "obligation_f1": 1.0}
+
+
 def test_duplicates_match_brute_force(spark):
     import random
 
@@ -146,6 +196,7 @@ def test_records(spark):
     assert D.licence_records(frame).count() == 2
     sums = D.checksums(frame, ["record_id", "split"])
     assert D.verify_checksums(sums, sums).count() == 0
+    assert sums.filter("subset = '*'").first().records == 3
 
 
 def test_contexts(spark):

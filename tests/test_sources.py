@@ -99,6 +99,54 @@ def test_scans(spark, tmp_path):
     assert manifests.config(str(tmp_path / "out" / "r.json")) == {"a": 2, "b": 1}
 
 
+def test_unknown_subsets_and_empty_folders_fail(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        manifests.records(spark, str(tmp_path / "none"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.json").write_text(json.dumps({"record_id": "x", "subset": "something_else"}))
+    with pytest.raises(Exception, match="unknown subset"):
+        manifests.records(spark, str(tmp_path / "bad")).collect()
+    (tmp_path / "two").mkdir()
+    for n in ("b", "a"):
+        (tmp_path / "two" / f"{n}.json").write_text(json.dumps({"record_id": n, "subset": "multi_turn"}))
+    assert [r.record_id for r in manifests.records(spark, str(tmp_path / "two")).orderBy("ordinal").collect()] == ["a", "b"]
+
+
+def test_later_appends_count_whatever_their_size(spark, tmp_path):
+    path = str(tmp_path / "log")
+    old = spark.createDataFrame([("a", "old"), ("b", "only")], "record_id string, v string")
+    assert manifests.append_rows(old, path) == 1
+    assert manifests.append_rows(spark.createDataFrame([("a", "new" * 5000)], "record_id string, v string"), path) == 2
+    found = lambda: {r.record_id: json.loads(r.line)["v"][:3] for r in manifests.checkpoint_rows(spark, path).collect()}
+    assert found() == {"a": "new", "b": "onl"}
+    manifests.append_rows(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "record_id string, v string").coalesce(1), path)
+    assert found() == {"a": "y", "b": "z"}
+
+
+def test_files_of_one_name_do_not_cross(spark, tmp_path):
+    raw = tmp_path / "raw"
+    for folder, text in (("a", "one"), ("b", "two"), ("x", "three")):
+        (raw / folder).mkdir(parents=True)
+        (raw / folder / "lease.txt").write_text(text)
+    (raw / "single.txt").write_text("four")
+    rows = [("a", "raw/lease.txt"), ("b", "raw/lease.txt"), ("c", "raw/lease.txt"), ("d", "raw/single.txt"), ("e", "other/single.txt"), ("f", "x/lease.txt")]
+    manifest = spark.createDataFrame([(d, p, "text", None) for d, p in rows], "document_id string, local_path string, media_type string, sha256 string")
+    got = {r.document_id: (None if r.content is None else bytes(r.content).decode(), r.error) for r in files.acquire(manifest, files.scan(spark, str(raw)), ["text"], 100).collect()}
+    assert got == {"a": ("one", None), "b": ("two", None), "c": (None, "file_ambiguous"), "d": ("four", None), "e": ("four", None), "f": ("three", None)}
+    small = {r.document_id: r.error for r in files.acquire(manifest, files.scan(spark, str(raw)), ["text"], 3).collect()}
+    assert small["d"] == "file_too_large" and small["a"] is None
+
+
+def test_ranked_fixtures_and_runs(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"predictions": [{"relevant": True}, {"relevant": False}]}))
+    assert [tuple(r) for r in manifests.ranked_fixture(spark, str(tmp_path / "f.json")).orderBy("ordinal").collect()] == [(0, True), (1, False)]
+    for n in ("r2", "r1"):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"run_id": n}))
+    got = manifests.runs(spark, [str(tmp_path / "r2.json"), str(tmp_path / "r1.json")], "run_id string").orderBy("ordinal").collect()
+    assert [r.run_id for r in got] == ["r2", "r1"]
+
+
 def test_schemas_and_violations(spark, tmp_path):
     assert manifests.export_schemas(str(tmp_path)) == ["source_entry.schema.json", "record.schema.json", "answer.schema.json"]
     assert json.loads((tmp_path / "record.schema.json").read_text())["type"] == "struct"
