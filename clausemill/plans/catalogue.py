@@ -422,10 +422,29 @@ def _(spark, d):
     return _top_blocks(spark, d).select("record_id", "block_id", "score", "place")
 
 
-@query("context_retrieval", TOPK + " SELECT record_id, sha256(string_agg(text, chr(10) ORDER BY place)) AS sha256, count(*) AS blocks FROM k GROUP BY record_id")
+#: Labelled lines of source texts, and those a question ranks best.
+LINES = f"""t AS (SELECT DISTINCT record_id, answer.question AS query, unnest(map_keys(source_texts)) AS document_id, unnest(map_values(source_texts)) AS text FROM {RECORDS}),
+ l AS (SELECT record_id, query, document_id, list_filter(string_split({COLLAPSED}, chr(10)), lambda x: x <> '') AS lines FROM t),
+ b AS (SELECT record_id, query, document_id, unnest(CASE WHEN len(lines) = 0 THEN [0] ELSE range(1, len(lines) + 1) END) AS i, unnest(CASE WHEN len(lines) = 0 THEN [''] ELSE lines END) AS line FROM l),
+ c AS (SELECT record_id, query, document_id, i, document_id || ':' || CASE WHEN i = 0 THEN 'full' ELSE 'block-' || lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INT, '0') END AS block_id, '[' || document_id || '] ' || line AS text FROM b)"""
+LEAST_SCORE = 0.45
+
+
+@query(
+    "context_retrieval",
+    f"""WITH {LINES}, q AS (SELECT * FROM c WHERE query IS NOT NULL), s AS (SELECT q.record_id, q.block_id, q.text, CASE WHEN len({QUERY_TOKENS}) = 0 THEN 0.0::DOUBLE ELSE round(least(1.0, len(list_intersect(list_distinct({QUERY_TOKENS}), list_distinct({TOKENS % 'q.text'}))) / len(list_distinct({QUERY_TOKENS}))
+   + 0.25 * len(list_filter(range(1, len({QUERY_TOKENS})), lambda i: contains(lower(q.text), ({QUERY_TOKENS})[i] || ' ' || ({QUERY_TOKENS})[i + 1])))), 9)::DOUBLE END AS score FROM q),
+ k AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, block_id) AS place FROM s WHERE score >= {LEAST_SCORE} QUALIFY place <= 4),
+ g AS (SELECT record_id, string_agg(text, chr(10) ORDER BY place) AS context, count(*) AS blocks FROM k GROUP BY record_id),
+ f AS (SELECT record_id, array_to_string(list_transform(list_sort(map_keys(source_texts)), lambda k: '[' || k || ']' || chr(10) || regexp_replace(source_texts[k], '^{B}+|{B}+$', '', 'g')), chr(10) || chr(10)) AS whole FROM {RECORDS} WHERE answer.question IS NOT NULL)
+ SELECT record_id, coalesce(blocks, 0) AS blocks, sha256(coalesce(context, whole)) AS sha256 FROM f LEFT JOIN g USING (record_id)""",
+)
 def _(spark, d):
-    best = _top_blocks(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("b"))
-    return best.select("record_id", F.sha2(F.array_join("b.text", "\n"), 256).alias("sha256"), F.size("b").cast("bigint").alias("blocks"))
+    """Contexts of the best blocks; where none reaches the least score, the whole text."""
+    rows = records(spark, d).filter("answer.question is not null")
+    found = R.contexts(rows, rows.select("record_id", F.col("answer.question").alias("query")), "retrieval_assisted", 4, LEAST_SCORE)
+    blocks = F.when(F.element_at("block_ids", 1) == "retrieval_fallback", 0).otherwise(F.size("block_ids"))
+    return found.select("record_id", blocks.cast("bigint").alias("blocks"), F.sha2("context", 256).alias("sha256"))
 
 
 @query(
@@ -437,7 +456,7 @@ def _(spark, d):
     return R.contexts(records(spark, d), q, "full_document").select("record_id", F.sha2("context", 256).alias("sha256"))
 
 
-@query("context_clause_level")
+@query("context_clause_level", f"WITH {LINES} SELECT record_id, count(*)::INT AS blocks, sha256(string_agg(text, chr(10) ORDER BY document_id, i)) AS sha256 FROM c GROUP BY record_id")
 def _(spark, d):
     q = records(spark, d).select("record_id", F.coalesce("answer.question", F.lit("")).alias("query"))
     return R.contexts(records(spark, d), q, "clause_level").select("record_id", F.size("block_ids").alias("blocks"), F.sha2("context", 256).alias("sha256"))
