@@ -166,6 +166,13 @@ def oracle_sql() -> dict[str, str]:
  {_similar("SELECT (record_id, side) AS id, text FROM records WHERE side IS NOT NULL AND text IS NOT NULL")},
  crossed AS (SELECT a[1] AS x, b[1] AS y FROM pairs WHERE (a[2] = 'train') <> (b[2] = 'train') AND a[1] <> b[1])
  SELECT DISTINCT least(x, y) AS record_a, greatest(x, y) AS record_b FROM crossed""",
+        "p1_groups": f"""WITH RECURSIVE {_similar("SELECT document_id AS id, normalized_text AS text FROM processed_document WHERE normalized_text IS NOT NULL")},
+ edges AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+ SELECT document_id, coalesce(least(document_id, (SELECT min(y) FROM reach WHERE x = document_id)), document_id) AS class_id, (SELECT count(*) FROM edges WHERE x = document_id) AS links FROM (SELECT DISTINCT document_id FROM processed_document)""",
+        "p4_overlap": f"""WITH records AS (SELECT DISTINCT record_id, {_SIDE} AS side, source_name, array_to_string(list_transform(list_sort(map_keys(source_texts)), lambda k: source_texts[k]), chr(10)) AS text FROM dataset_record),
+ {_similar("SELECT DISTINCT (record_id, side) AS id, text FROM records WHERE side IS NOT NULL AND text IS NOT NULL")},
+ held AS (SELECT CASE WHEN a[2] = 'train' THEN b[1] ELSE a[1] END AS record_id, count(DISTINCT CASE WHEN a[2] = 'train' THEN a[1] ELSE b[1] END) AS n FROM pairs WHERE (a[2] = 'train') <> (b[2] = 'train') AND a[1] <> b[1] GROUP BY 1)
+ SELECT side AS split, source_name, count(DISTINCT record_id) AS records, count(DISTINCT CASE WHEN n > 0 THEN record_id END) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM (SELECT DISTINCT record_id, side, source_name FROM records WHERE side IN ('validation', 'test')) LEFT JOIN held USING (record_id) GROUP BY side, source_name""",
         "p5_found": "SELECT DISTINCT document_id, block_id FROM text_block WHERE length(text) > 1200",
         "p6_components": f"""WITH RECURSIVE r AS (SELECT record_id, CASE WHEN f <> '' THEN ['f:' || f] ELSE [] END || list_transform(list_filter(coalesce(document_ids, []), lambda x: x IS NOT NULL), lambda x: 'd:' || x) AS k FROM (SELECT record_id, {_FAMILY} AS f, document_ids FROM dataset_record WHERE record_id IS NOT NULL)),
  keys AS (SELECT DISTINCT record_id, unnest(CASE WHEN len(k) = 0 THEN ['r:' || record_id] ELSE k END) AS k FROM r), ties AS (SELECT DISTINCT a.k AS x, b.k AS y FROM keys a JOIN keys b USING (record_id) WHERE a.k <> b.k),
