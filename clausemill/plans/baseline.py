@@ -7,8 +7,10 @@ join, a model would be a ``mapInPandas`` with one model a task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clausemill.functions import text as T
@@ -80,6 +82,35 @@ def scripted(outputs: DataFrame) -> Generator:
     return lambda asked: X.scripted(asked, outputs).withColumn("latency_seconds", F.lit(0.0)).withColumn("peak_vram_mb", F.lit(0.0))
 
 
+def timed(call: Callable[[list[str]], list[str]]) -> Generator:
+    """A generator around a function of prompts, batch by batch in the workers; a row's latency is its share of its batch's time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prompts = batch.column(1).to_pylist()
+            start = time.perf_counter()
+            outputs = call(prompts)
+            seconds = (time.perf_counter() - start) / max(1, len(prompts))
+            n = len(prompts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(outputs, pa.string()), pa.array([len((o or "").split()) for o in outputs], pa.int32()), pa.array([seconds] * n, pa.float64()), pa.array([0.0] * n, pa.float64())],
+                names=["record_id", "prompt", "raw_output", "completion_tokens", "latency_seconds", "peak_vram_mb"],
+            )
+
+    return lambda asked: asked.select("record_id", "prompt").mapInArrow(run, "record_id string, prompt string, raw_output string, completion_tokens int, latency_seconds double, peak_vram_mb double")
+
+
+#: Makers of generators by the kind a configuration names.
+BACKENDS: dict[str, Callable[..., Generator]] = {"scripted": scripted, "function": timed}
+
+
+def backend(kind: str, *args) -> Generator:
+    """The generator of a kind; an unknown one, or one that needs hardware this engine does not drive, is an error."""
+    if kind not in BACKENDS:
+        raise ValueError(f"no backend {kind!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[kind](*args)
+
+
 def compare(runs: DataFrame, candidates: DataFrame, comparison: str, max_vram_mb: float) -> DataFrame:
     """Latest run of each candidate in the required comparison, ranked; ``selected`` only if no candidate is missing.
 

@@ -49,13 +49,16 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) is a temporary folder made.
+    Only where the setting is absent on one machine (tests) is a temporary folder made; a
+    cluster without it is refused.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="clausemill-")
     context.setCheckpointDir(folder)
     return folder

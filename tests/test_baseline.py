@@ -1,5 +1,6 @@
 """Generation runs and their comparison."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausemill.plans import baseline as B
@@ -48,3 +49,11 @@ def test_comparison(spark):
     found = {r.candidate_id: (r.place, r.practical, r.selected) for r in B.compare(runs, two, "c", 15000).collect()}
     assert found == {"a": (1, True, True), "b": (2, False, False)}
     assert not any(r.selected for r in B.compare(runs, three, "c", 15000).collect())
+
+
+def test_functions_are_timed_and_backends_named(spark):
+    asked = spark.createDataFrame([("a", "one two"), ("b", "three")], "record_id string, prompt string")
+    found = {r.record_id: r for r in B.backend("function", lambda prompts: [p.upper() for p in prompts])(asked).collect()}
+    assert found["a"].raw_output == "ONE TWO" and found["a"].completion_tokens == 2 and found["b"].latency_seconds >= 0
+    with pytest.raises(ValueError):
+        B.backend("transformers")
