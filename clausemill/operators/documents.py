@@ -96,10 +96,18 @@ def exact_duplicates(documents: DataFrame, id_column: str = "document_id", check
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 6, 200_000
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a batch and how many of its sets hold them, without those too rare to be common."""
+    for batch in batches:
+        tokens, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        keep = counts >= max(2, batch.num_rows * COMMON_SHARE / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["token", "n"])
+
+
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The common tokens, sorted, and in how many texts each is.  They only order the tokens of a set; any order is right."""
+    """The common tokens, sorted, and in how many texts each is at least.  They only order the tokens of a set; any order is right."""
     least = max(COMMON_LEAST, sets.count() * COMMON_SHARE)
-    counted = sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counted = sets.select("set").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     found = counted.orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
     tokens, counts = found.column("token").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -128,6 +136,25 @@ def _prefixes(batches: Iterator[pa.RecordBatch], threshold: float, tokens: np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(out))], names=["node", "n", "token"])
 
 
+def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """a, b, similarity of rows a, b and their sets, where it reaches the threshold; numpy counts what the sets share."""
+    for batch in batches:
+        scores = np.zeros(batch.num_rows)
+        flat, bounds = [], []
+        for column in (batch.column(2), batch.column(3)):
+            flat.append(column.flatten().to_numpy(zero_copy_only=False))
+            bounds.append(np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))))
+        for i in range(batch.num_rows):
+            x, y = (f[b[i] : b[i + 1]] for f, b in zip(flat, bounds, strict=True))
+            both = np.concatenate((x, y))
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            scores[i] = shared / (len(both) - shared)
+        keep = scores >= threshold
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(scores[keep])], names=["a", "b", "similarity"])
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.85, size: int = 5, id_column: str = "document_id", text_column: str = "normalized_text") -> DataFrame:
     """``document_id, near_duplicate_of, similarity``: pairs, the later id first, by an inverted index over prefixes.
 
@@ -145,7 +172,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.85, size: int = 5
     a, b = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), "token")
     pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    alike = cut(x.withColumn("similarity", T.jaccard(F.col("sa"), F.col("sb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity"))
+    alike = cut(x.select("a", "b", "sa", "sb").mapInArrow(lambda it: _alike(it, threshold), "a long, b long, similarity double"))
     same = member.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")).distinct()
     both = alike.unionByName(same)
     m1, m2 = member.select(F.col("node").alias("a"), F.col("id").alias("i")), member.select(F.col("node").alias("b"), F.col("id").alias("j"))
