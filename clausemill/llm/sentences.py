@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from clausemill.session import cut
 
 #: Bound of the sample the weights are fitted on: documents of least hash of the id, and places of each label taken from it.
-TRAINING_DOCUMENTS = 4000
+TRAINING_DOCUMENTS = 2000
 #: Share of all counted places below which a token counts as unknown; so at most 1 / RARE tokens are held.
 RARE = 2e-6
 #: Longest token that is looked at; longer ones count as unknown words.
