@@ -114,7 +114,7 @@ def matrix(candidates: DataFrame, comparisons: DataFrame) -> DataFrame:
     return comparisons.select("comparison_id", F.explode("candidate_ids").alias("candidate_id")).join(candidates.select("candidate_id").distinct(), "candidate_id")
 
 
-# What the dominant failure of the best practical candidate suggests.
+# What the dominant failure of the best practical candidate suggests, in our own words.
 HYPOTHESES = {
     "prompt_error": "output is not JSON: train the output format",
     "parse_error": "constrained output is not JSON: train the output format",
