@@ -116,6 +116,11 @@ def shingle_hashes(text: Column, size: int = 5) -> Column:
     return bound(words(text), of)
 
 
+def word_hashes(text: Column) -> Column:
+    """The ``words`` as 64-bit hashes, in order."""
+    return F.transform(F.filter(F.split(F.lower(text), BLANKS), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two sets: 1 where both are empty, 0 where one is."""
     shared = F.size(F.array_intersect(a, b))

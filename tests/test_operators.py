@@ -1,11 +1,13 @@
 """Small fixtures for the document, metric, run and record operators."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests_support import RECORD, record
 
 from clausemill.operators import dataset as D, documents as O, metrics as M, regression as G, retrieval as R, runs as X, validators as V
+from clausemill.session import cut
 
 
 def rows(frame):
@@ -61,6 +63,46 @@ def test_common_tokens_only_order(spark, monkeypatch):
     assert want and rows(O.near_duplicates(docs, 0.5, 2)) == want
 
 
+def _changed_texts(count, seed=5):
+    import random
+
+    random.seed(seed)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(count):
+        words = list(base)
+        for _ in range(random.randrange(12)):
+            words[random.randrange(120)] = f"x{random.randrange(40)}"
+        texts.append((f"d{i:03d}", " ".join(words[: random.randrange(80, 121)])))
+    return texts
+
+
+def test_near_duplicates_write_no_sets(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(O, "cut", lambda frame: written.append(dict(frame.dtypes)) or cut(frame))
+    texts = _changed_texts(40) + [("e", "one two"), ("f", "one two"), ("g", "two one")]
+    found = O.near_duplicates(spark.createDataFrame(texts, "document_id string, normalized_text string"), 0.7)
+    runs = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts)}
+    want = {(j, i): len(x & y) / len(x | y) for i, x in runs.items() for j, y in runs.items() if i < j and len(x & y) / len(x | y) >= 0.7}
+    assert {(r.document_id, r.near_duplicate_of): r.similarity for r in found.collect()} == want and len(want) > 20
+    assert written and not [kinds for kinds in written if any(k.startswith("array") or k == "string" for k in kinds.values())]
+
+
+def test_pairs_meet_across_batches():
+    import itertools
+
+    sizes = {7: [5], 8: [1, 2, 3, 4, 5, 6], 9: [2, 4, 4, 6], 11: [1, 6]}
+    rows = [(t, node, 1, 0) for t, nodes in sizes.items() for node in nodes]
+    want = {}
+    for nodes in sizes.values():
+        for pair in itertools.combinations(sorted(set(nodes)), 2):
+            want[pair] = want.get(pair, 0) + 1
+    for size in (1, 2, 3, 5, 50):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size], strict=True)], names=["token", "node", "n", "place"]) for i in range(0, len(rows), size)]
+        got = {(a, b): met for batch in O._pairs(iter(parts), 0.85) for a, b, _, met in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        assert got == want
+
+
 def test_validators(spark):
     pages = spark.createDataFrame([("a", 1, 2), ("b", None, 2), ("c", 3, 2), ("d", None, None)], "clause_id string, page_start int, page_end int")
     assert rows(V.clause_page_violations(pages, ["clause_id"])) == [("b", "pages_unpaired"), ("c", "pages_reversed")]
