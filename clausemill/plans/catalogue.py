@@ -196,8 +196,7 @@ def _(spark, d):
     NEAR + " SELECT b AS document_id, y.source.family_id AS later_family, a AS near_duplicate_of, x.source.family_id AS earlier_family, round(c / (na + nb - c), 9) AS similarity FROM p JOIN processed_document x ON x.document_id = a JOIN processed_document y ON y.document_id = b WHERE x.source.family_id <> y.source.family_id",
 )
 def _(spark, d):
-    families = docs(spark, d).select("document_id", F.col("source.family_id").alias("family_id"))
-    return O.cross_family(O.near_duplicates(docs(spark, d)), families).withColumn("similarity", F.round("similarity", 9))
+    return O.cross_family_near_duplicates(docs(spark, d), family=F.col("source.family_id")).withColumn("similarity", F.round("similarity", 9))
 
 
 BUCKET = "(('0x' || substr(sha256(c.splits.salt || ':' || r.family_id), 1, 8))::BIGINT % 100)"

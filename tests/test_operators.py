@@ -103,6 +103,15 @@ def test_pairs_meet_across_batches():
         assert got == want
 
 
+def test_cross_family_near_duplicates(spark):
+    """Ids of several texts or families, and of none, as the join of the pairs with the families has them."""
+    rows_ = [(i, t, f"f{k % 3}" if k % 7 else None) for k, (i, t) in enumerate(_changed_texts(30))]
+    rows_ += [("d001", rows_[4][1], "f9"), ("d001", rows_[4][1], "f9"), ("d005", rows_[5][1], "f8"), ("e", "same", "f1"), ("f", "same", "f2"), (None, "same", "f3")]
+    docs = spark.createDataFrame(rows_, "document_id string, normalized_text string, family_id string")
+    want = rows(O.cross_family(O.near_duplicates(docs, 0.5), docs))
+    assert want and rows(O.cross_family_near_duplicates(docs, 0.5)) == want
+
+
 def test_validators(spark):
     pages = spark.createDataFrame([("a", 1, 2), ("b", None, 2), ("c", 3, 2), ("d", None, None)], "clause_id string, page_start int, page_end int")
     assert rows(V.clause_page_violations(pages, ["clause_id"])) == [("b", "pages_unpaired"), ("c", "pages_reversed")]
