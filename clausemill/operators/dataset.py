@@ -191,16 +191,19 @@ def status_failures(records: DataFrame, document_types: list[str] | None = None)
 
 
 def record_texts(records: DataFrame) -> DataFrame:
-    """``document_id`` (the record's id), ``family_id, normalized_text``: source texts in order of their documents, joined."""
+    """``document_id`` (the record's id), ``family_id, normalized_text``: source texts in order of their documents, joined.
+
+    A row a delivery: what is made of them counts equal ones once, so texts need not be moved for that.
+    """
     joined = F.array_join(F.transform(F.array_sort(F.map_keys("source_texts")), lambda k: F.element_at("source_texts", k)), "\n")
-    return records.select(F.col("record_id").alias("document_id"), "family_id", joined.alias("normalized_text")).dropDuplicates(["document_id"])
+    return records.select(F.col("record_id").alias("document_id"), "family_id", joined.alias("normalized_text"))
 
 
 def duplicate_issues(records: DataFrame, threshold: float, size: int) -> DataFrame:
     """``code, record_id, message``: records of the same text, and near-duplicates in other families."""
     texts = record_texts(records)
     exact = O.exact_duplicates(texts, checksum=F.sha2("normalized_text", 256)).select(F.lit("exact_duplicate").alias("code"), F.col("document_id").alias("record_id"), F.concat_ws(" duplicates ", "document_id", "duplicate_of").alias("message"))
-    near = O.cross_family(O.near_duplicates(texts, threshold, size), texts).select(
+    near = O.cross_family_near_duplicates(texts, threshold, size).select(
         F.lit("near_duplicate_leakage").alias("code"), F.col("document_id").alias("record_id"), F.format_string("%s in family %s is a near-duplicate of %s in family %s", "document_id", "later_family", "near_duplicate_of", "earlier_family").alias("message")
     )
     return exact.unionByName(near)

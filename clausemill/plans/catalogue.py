@@ -389,7 +389,7 @@ RECORD_TEXT = "array_to_string(list_transform(list_sort(map_keys(source_texts)),
 def _(spark, d):
     """Copies and near-copies among all records, with the configured threshold."""
     q = table(spark, d, "dataset_config").select("quality").first().quality
-    return D.duplicate_issues(records(spark, d), q.near_duplicate_threshold, q.shingle_size)
+    return D.duplicate_issues(table(spark, d, "dataset_record"), q.near_duplicate_threshold, q.shingle_size)
 
 
 @query("tokenize_counts", f"SELECT document_id, len({TOKENS % 'normalized_text'})::INT AS tokens, len(list_distinct({TOKENS % 'normalized_text'}))::INT AS distinct_tokens FROM processed_document")

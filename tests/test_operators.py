@@ -112,6 +112,12 @@ def test_cross_family_near_duplicates(spark):
     assert want and rows(O.cross_family_near_duplicates(docs, 0.5)) == want
 
 
+def test_duplicate_issues_take_every_text_of_a_record(spark):
+    texts = [("a", "f", {"d": "one two"}), ("b", "g", {"d": "one two"}), ("b", "g", {"d": "one two"}), ("b", "g", {"d": "three four"}), ("c", "h", {"d": "three four"})]
+    found = D.duplicate_issues(spark.createDataFrame(texts, "record_id string, family_id string, source_texts map<string,string>"), 0.7, 5)
+    assert rows(found.select("code", "record_id")) == [("exact_duplicate", "b"), ("exact_duplicate", "c"), ("near_duplicate_leakage", "b"), ("near_duplicate_leakage", "c")]
+
+
 def test_validators(spark):
     pages = spark.createDataFrame([("a", 1, 2), ("b", None, 2), ("c", 3, 2), ("d", None, None)], "clause_id string, page_start int, page_end int")
     assert rows(V.clause_page_violations(pages, ["clause_id"])) == [("b", "pages_unpaired"), ("c", "pages_reversed")]
